@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from winnowry.llm.staging import staged
+
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
@@ -47,18 +49,18 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     rise = Window.orderBy("_level", F.col("source").asc_nulls_last())
     s = s.withColumn("_below", F.coalesce(F.sum("_cap").over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     s = s.withColumn("_rest", F.sum("weight").over(rise.rowsBetween(0, Window.unboundedFollowing)))
-    all_rows = Window.partitionBy()
-    s = s.withColumn("_budget", F.least(share * F.sum("source_size").over(all_rows), F.sum("_cap").over(all_rows)))
-    water = F.min(F.when(F.col("_below") + F.col("_level") * F.col("_rest") >= F.col("_budget"), (F.col("_budget") - F.col("_below")) / F.col("_rest"))).over(Window.partitionBy())
-    # the first source whose cap is not reached sets the level; later ones give smaller quotients only above it
-    first = F.first(F.when(F.col("_below") + F.col("_level") * F.col("_rest") >= F.col("_budget"), (F.col("_budget") - F.col("_below")) / F.col("_rest")), ignorenulls=True).over(rise.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    s = s.withColumn("_water", F.coalesce(first, water, F.lit(0.0)))
+    whole = rise.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = s.withColumn("_budget", F.least(share * F.sum("source_size").over(whole), F.sum("_cap").over(whole)))
+    # the first source whose cap is not reached sets the level
+    level = F.when(F.col("_below") + F.col("_level") * F.col("_rest") >= F.col("_budget"), (F.col("_budget") - F.col("_below")) / F.col("_rest"))
+    s = s.withColumn("_water", F.coalesce(F.first(level, ignorenulls=True).over(whole), F.lit(0.0)))
     return s.select("source", "source_size", "weight", F.least(F.col("_cap"), F.col("weight") * F.col("_water")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) without the text, with size, source_size, target, copies and taken."""
-    base = docs.withColumns({"size": words(), "_u": uniform("doc_id", "text")}).drop("text")
+    own = [c for c in docs.columns if c != "text" and c[0] != "_" and c not in ("size", "source_size", "target", "copies", "taken")]
+    base = staged(docs.select(*own, words().alias("size"), uniform("doc_id", "text").alias("_u")), "mix")  # texts are read once
     by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     share_of = targets(by_source, weights, share, most)
     share_of = share_of.withColumn("_copies", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -79,7 +81,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     running = F.coalesce(F.sum("size").over(Window.partitionBy("_source").orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = edge.withColumn("_extra", ((F.col("_before") + running + F.col("size") / 2 <= F.col("_need")) & (F.col("size") > 0)).cast("int"))
     out = clear.unionByName(edge).withColumn("copies", F.when(F.col("size") > 0, F.col("_whole") + F.col("_extra")).otherwise(0).cast("long"))
-    own = [c for c in docs.columns if c != "text" and c[0] != "_" and c not in ("size", "source_size", "target", "copies", "taken")]
     return out.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

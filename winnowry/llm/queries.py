@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from winnowry.llm import decontaminate, mixing, quality, secrets
+from winnowry.llm import decontaminate, minhash, mixing, quality, secrets
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op4_secrets": secrets.op4_secrets,
     "op6_quality": quality.op6_quality,
     "op8_mixing": mixing.op8_mixing,
+    "op10_minhash": minhash.op10_minhash,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,

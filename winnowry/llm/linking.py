@@ -32,34 +32,39 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], carried: tuple[str, ...]) -> DataFrame:
+def link(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column]) -> DataFrame:
     """(id, component) of all ids that are linked with another.
 
-    members: (bucket, id, *carried), staged; near(x, y): may the rows under the aliases x and y be
-    linked, by what they carry; verify: keeps the true links of pairs (a, b). Every pair that
-    shares a bucket, is near and verified ends in one group.
+    members: (bucket, id); nodes: id and what ``near(x, y)`` reads of the rows under the aliases x
+    and y to tell whether they may be linked; verify: keeps the true links of pairs (a, b). Every
+    pair that shares a bucket, is near and verified ends in one group. Buckets of the same
+    members count once.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
+    own, other = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.bit_xor(own).alias("h1"), F.bit_xor(other).alias("h2")).where("n > 1")
+    sizes = sizes.groupBy("n", "hub", "h1", "h2").agg(F.min("bucket").alias("bucket"))
     shared = staged(members.join(sizes.select("bucket", "hub"), "bucket"), "buckets")
-    hubs = shared.where("id = hub").dropDuplicates(["id"]).select("id", *carried)
-    spokes = shared.where("id <> hub").dropDuplicates(["id", "hub"])
-    stars = spokes.alias("y").join(hubs.alias("x"), F.expr("x.id = y.hub")).where(near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    spokes = shared.where("id <> hub").select("hub", "id").distinct()
+    y = spokes.join(nodes, "id").alias("y")
+    stars = y.join(nodes.alias("x"), F.expr("x.id = y.hub")).where(near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     first = staged(verify(stars), "links")
     groups = components(first)
 
-    placed = staged(shared.drop("hub").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    placed = shared.drop("hub").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = staged(placed, "placed")
     stats = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n")).where("groups > 1")
     stats = staged(stats.withColumn("large", (F.col("n") > LARGE) & (F.col("groups") * 8 < F.col("n"))).select("bucket", "large"), "mixed")
-    mixed = placed.join(stats, "bucket")
-    x, y = mixed.where("not large").alias("x"), mixed.where("not large").alias("y")
-    across = x.join(y, F.expr("x.bucket = y.bucket and x.id < y.id and x.component <> y.component") & near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    big = mixed.where("large")
-    tags = big.select("bucket", "component").distinct()
-    crossed = tags.alias("p").join(tags.alias("q"), F.expr("p.bucket = q.bucket and p.component < q.component")).select(F.col("p.bucket").alias("bucket"), F.col("p.component").alias("p"), F.col("q.component").alias("q"))
-    left = crossed.join(big.alias("x"), (crossed["bucket"] == F.col("x.bucket")) & (crossed["p"] == F.col("x.component")))
-    apart = left.join(big.alias("y"), (crossed["bucket"] == F.col("y.bucket")) & (crossed["q"] == F.col("y.component")) & near("x", "y"))
-    across = across.union(apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))).distinct()
-    second = staged(verify(across), "links")
+    mixed = placed.join(stats, "bucket").join(nodes, "id")
+    few = mixed.where("not large")
+    across = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket and x.id < y.id and x.component <> y.component") & near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    if not stats.where("large").isEmpty():
+        big = mixed.where("large")
+        tags = placed.join(stats.where("large"), "bucket").select("bucket", "component").distinct()
+        crossed = tags.alias("p").join(tags.alias("q"), F.expr("p.bucket = q.bucket and p.component < q.component")).select("p.bucket", F.col("p.component").alias("p"), F.col("q.component").alias("q")).alias("c")
+        left = crossed.join(big.alias("x"), F.expr("c.bucket = x.bucket and c.p = x.component"))
+        apart = left.join(big.alias("y"), F.expr("c.bucket = y.bucket and c.q = y.component") & near("x", "y"))
+        across = across.union(apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    second = staged(verify(across.distinct()), "links")
     if second.isEmpty():
         return groups
     return components(first.union(second))

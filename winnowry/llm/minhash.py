@@ -1,14 +1,15 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 A document's set holds its distinct k-word shingles. Its signature has ``COMPONENTS``
-minima of ``32`` bits. At the similarity sought two signatures differ in a fifth of
-the components on average; pairs with at most ``DISTANCE`` different ones are candidates.
-Signatures are split into ``CHUNKS`` chunks: by the pigeonhole principle one chunk of such a pair has at
+minima of 2 bits, and of the first ``INDEXED`` of them 32 bits. At the similarity sought two signatures
+differ in a fifth of the wide and 15 of 100 narrow components on average; pairs that differ in at most ``DISTANCE`` of the
+indexed ones, and in at most ``FAR`` of all, are candidates.
+The indexed components are split into ``CHUNKS`` chunks: by the pigeonhole principle one chunk of such a pair has at
 most ``DISTANCE // CHUNKS`` = 1 errors, so leaving each component of each chunk out in turn
 gives keys of which every pair under the distance shares one. Links are confirmed
 on the full sets.
 
-A pair of similarity 0.8 exceeds the distance with a chance of 2e-5, a closer one less.
+A pair of similarity 0.8 exceeds either distance with a chance of 2e-5, a closer one less.
 
 Defined results: without words or text a document is linked with nothing; with fewer
 words than k the whole sequence is its one shingle; equal rows are one text; a null doc_id
@@ -26,9 +27,12 @@ from winnowry.llm.linking import link
 from winnowry.llm.staging import row_key, small_batches, staged
 from winnowry.llm.textops import TOKENS, Rolling, grams, mix, pieces, signed, spans, splitmix, token_table
 
-COMPONENTS, CHUNKS, DISTANCE = 40, 10, 19
+INDEXED, CHUNKS, DISTANCE = 40, 10, 19
+COMPONENTS, FAR = 256, 63
+#: Components by which most pairs are told apart, and the differences among them beyond which they are.
+GLANCE, GLANCE_FAR = 64, 24
 LOWER = np.where(np.isin(np.arange(256), np.arange(65, 91)), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
-SEEDS = splitmix(COMPONENTS, 101) | np.uint64(1)
+SEEDS = (splitmix(COMPONENTS, 101) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,20 +65,38 @@ def sign(k: int):
                 n = np.diff(first)
                 full = np.flatnonzero(n)
                 digest = np.zeros((2, len(n)), np.uint64)
-                least = np.zeros((len(full), COMPONENTS), np.uint64)
+                least = np.zeros((len(full), COMPONENTS), np.uint32)
                 if len(full):
                     at = first[:-1][full]
                     for i, c in enumerate(splitmix(2, 5)):
                         digest[i, full] = np.add.reduceat(mix(sets ^ c), at)
+                    short = (sets >> np.uint64(32)).astype(np.uint32)
                     for i, c in enumerate(SEEDS):
-                        least[:, i] = np.minimum.reduceat(sets * c, at)
-            values = (mix(least) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            ends = np.concatenate([[0], np.cumsum((n > 0) * COMPONENTS)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("row"), pa.array(n), pa.array(signed(digest[0])), pa.array(signed(digest[1])), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))], ["doc_id", "row", "n", "s1", "s2", "sig"])
+                        least[:, i] = np.minimum.reduceat(short * c, at)
+            values = (mix(least.astype(np.uint64) | (np.arange(COMPONENTS, dtype=np.uint64) << np.uint64(32))) >> np.uint64(32)).astype(np.uint32)
+            pairs = (values & np.uint32(3)).astype(np.uint8).reshape(len(values), -1, 4)
+            bits = np.ascontiguousarray(pairs[:, :, 0] | pairs[:, :, 1] << 2 | pairs[:, :, 2] << 4 | pairs[:, :, 3] << 6).view(np.int64)
+            keyed = keys(values)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * x.shape[1])]).astype(np.int32)), pa.array(x.ravel())) for x in (bits, keyed)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("row"), pa.array(n), pa.array(signed(digest[0])), pa.array(signed(digest[1])), *lists], ["doc_id", "row", "n", "s1", "s2", "sig", "keys"])
 
     return run
 
 
+def keys(values: np.ndarray) -> np.ndarray:
+    """Of each signature: a key for each component left out of its chunk."""
+    size, made = INDEXED // CHUNKS, []
+    with np.errstate(over="ignore"):
+        for c in range(CHUNKS):
+            for out in range(size):
+                h = np.full(len(values), c * size + out, np.uint64)
+                for i in range(size):
+                    if i != out:
+                        h = mix(h ^ values[:, c * size + i].astype(np.uint64)) + np.uint64(i)
+                made.append(mix(h))
+    return signed(np.ascontiguousarray(np.stack(made, 1)))
+
+
 def full_sets(k: int):
     def run(batches):
         for rows, data, offsets in pieces(batches):
@@ -85,32 +107,28 @@ def full_sets(k: int):
     return run
 
 
-def keys(sig: str = "sig") -> Column:
-    """A key for each component left out of its chunk."""
-    size = COMPONENTS // CHUNKS
-    made = []
-    for c in range(CHUNKS):
-        for out in range(size):
-            rest = [F.col(sig)[c * size + i] for i in range(size) if i != out]
-            made.append(F.xxhash64(F.lit(c * size + out), *rest))
-    return F.array(*made)
+def differing(x: str, y: str, longs: range) -> Column:
+    """Different 2-bit components, 32 of them in a long."""
+    n = F.lit(0)
+    for i in longs:
+        z = F.col(f"{x}.sig")[i].bitwiseXOR(F.col(f"{y}.sig")[i])
+        n = n + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return n
 
 
-def near(x: str, y: str) -> Column:
-    same = F.lit(0)
-    for i in range(COMPONENTS):
-        same = same + (F.col(f"{x}.sig")[i] == F.col(f"{y}.sig")[i]).cast("int")
-    return same >= COMPONENTS - DISTANCE
+def near(x: str, y: str, percent: int = 80) -> Column:
+    fit = (100 * F.col(f"{x}.n") >= percent * F.col(f"{y}.n")) & (100 * F.col(f"{y}.n") >= percent * F.col(f"{x}.n"))
+    return fit & (differing(x, y, range(GLANCE // 32)) <= GLANCE_FAR) & (differing(x, y, range(COMPONENTS // 32)) <= FAR)
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """Per row: doc_id, row (its key), n_shingles, component_id and kept. Links: 100 * intersection >= percent * union."""
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text", row_key().alias("row"))
-    signed_rows = staged(texts.mapInArrow(sign(k), "doc_id long, row long, n long, s1 long, s2 long, sig array<int>"), "signed")
-    nodes = signed_rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.first("sig").alias("sig"))
+    signed_rows = staged(texts.mapInArrow(sign(k), "doc_id long, row long, n long, s1 long, s2 long, sig array<long>, keys array<long>"), "signed")
+    nodes = signed_rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()), "sets")
-    members = staged(nodes.select("id", "sig", "n", F.explode(keys()).alias("bucket")), "keys")
+    members = nodes.select("id", F.explode("keys").alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "pairs")
@@ -121,7 +139,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
         common = F.size(F.array_intersect("ea", "eb"))
         return both.where(100 * common >= percent * (F.size("ea") + F.size("eb") - common)).select("a", "b")
 
-    groups = link(members, verify, near, ("sig",))
+    groups = link(members, nodes.select("id", "n", "sig"), verify, lambda x, y: near(x, y, percent))
     placed = nodes.select("s1", "s2", "n", "id").join(groups, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("group"))
     rows = signed_rows.select("doc_id", "row", "n", "s1", "s2")
     full = staged(rows.where("n > 0").join(placed, ["s1", "s2", "n"]), "grouped")

@@ -22,8 +22,8 @@ from winnowry.llm.staging import staged
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-#: Cells of the ranking by which its prefix sums are taken; only one cell of a source is ever sorted.
-CELLS = 8192
+#: Cells of the ranking, by which its prefix sums are taken, in a step of 1 of its logarithm. Only one cell of a source is ever sorted, about a row in 4 * CELLS.
+CELLS = 1024
 
 
 def words(text: str = "text") -> Column:
@@ -68,9 +68,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     share_of = share_of.withColumn("_need", F.greatest(F.col("target") - F.col("_whole") * F.col("source_size"), F.lit(0.0)))
     share_of = share_of.select(F.col("source").alias("_source"), "source_size", "target", "_whole", "_part", "_need")
     ranked = base.join(share_of, F.col("source").eqNullSafe(F.col("_source")))
-    # random odds over inclusion odds, as a probability: rises with the ratio
+    # random odds over inclusion odds; cells are even steps of its logarithm, which is logistic whatever the inclusion
     odds, inclusion = F.col("_u") / (1 - F.col("_u")), F.col("_part") / (1 - F.col("_part"))
-    ranked = ranked.withColumn("_rank", F.when(F.col("_part") > 0, odds / (odds + inclusion)).otherwise(1.0)).withColumn("_cell", F.floor(F.col("_rank") * CELLS))
+    ranked = ranked.withColumn("_rank", F.when(F.col("_part") > 0, odds / inclusion).otherwise(odds)).withColumn("_cell", F.floor(F.log("_rank") * CELLS))
     cells = ranked.groupBy("_source", "_cell").agg(F.sum("size").alias("_words"))
     cells = cells.withColumn("_before", F.coalesce(F.sum("_words").over(Window.partitionBy("_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = ranked.join(cells.select(F.col("_source").alias("_s"), F.col("_cell").alias("_c"), "_before", "_words"), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
@@ -98,7 +98,7 @@ s2 as (select *, cap / weight as level, coalesce(sum(cap) over (order by cap / w
 w as (select coalesce(arg_min((budget - below) / rest, level), 0) as water from s2 where below + level * rest >= budget),
 s3 as (select source, source_size, least(cap, weight * water) as target, case when source_size > 0 then least(cap, weight * water) / source_size else 0 end as copies from s2, w),
 s4 as (select source, source_size, target, floor(copies + 1e-12) as whole, greatest(copies - floor(copies + 1e-12), 0) as part, greatest(target - floor(copies + 1e-12) * source_size, 0) as need from s3),
-r as (select d.doc_id, d.size, s4.*, case when part > 0 then (u / (1 - u)) / (u / (1 - u) + part / (1 - part)) else 1.0 end as rk from d join s4 on d.source is not distinct from s4.source),
+r as (select d.doc_id, d.size, s4.*, case when part > 0 then (u / (1 - u)) / (part / (1 - part)) else u / (1 - u) end as rk from d join s4 on d.source is not distinct from s4.source),
 c as (select *, coalesce(sum(size) over (partition by source order by rk, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from r)
 select doc_id, size, source_size, target, case when size > 0 then (whole + case when before + size / 2.0 <= need then 1 else 0 end)::bigint * size else 0 end as taken from c
 """

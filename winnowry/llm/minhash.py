@@ -28,7 +28,7 @@ from winnowry.llm.staging import row_key, small_batches, staged
 from winnowry.llm.textops import TOKENS, Rolling, grams, mix, pieces, signed, spans, splitmix, token_table
 
 INDEXED, CHUNKS, DISTANCE = 40, 10, 19
-COMPONENTS, FAR = 256, 63
+COMPONENTS, FAR = 1024, 201
 #: Components by which most pairs are told apart, and the differences among them beyond which they are.
 GLANCE, GLANCE_FAR = 64, 24
 LOWER = np.where(np.isin(np.arange(256), np.arange(65, 91)), np.arange(256) + 32, np.arange(256)).astype(np.uint8)

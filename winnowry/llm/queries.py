@@ -1,15 +1,21 @@
 """The registered queries of this subpackage and their SQL."""
 
-from winnowry.llm import decontaminate, minhash, mixing, quality, secrets
+from winnowry.llm import decontaminate, licenses, linededup, lm, minhash, mixing, quality, secrets, suffix, topk
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_suffix": suffix.op2_suffix,
+    "op3_topk": topk.op3_topk,
     "op4_secrets": secrets.op4_secrets,
+    "op5_licenses": licenses.op5_licenses,
     "op6_quality": quality.op6_quality,
+    "op7_lm": lm.op7_lm,
     "op8_mixing": mixing.op8_mixing,
+    "op9_line_dedup": linededup.op9_line_dedup,
     "op10_minhash": minhash.op10_minhash,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
+    "op3_topk": topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }

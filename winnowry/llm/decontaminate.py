@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnowry.llm.staging import small_batches
+from winnowry.llm.staging import row_key, small_batches
 from winnowry.llm.textops import WORDS, pieces, spans
 
 WINDOW = 13
@@ -177,6 +177,12 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    bad = judged(find_contamination(docs.select(row_key().alias("doc_id"), "text"), benchmark, window)).where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
+    return docs.withColumn("_key", row_key()).join(bad, F.col("_key") == F.col("_row"), "left_anti").drop("_key")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -206,6 +206,19 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rate(docs.sparkSession.sparkContext.broadcast(model)), SCHEMA)
 
 
+def keep_good(docs: DataFrame, model: dict, least: float = ACCEPT) -> DataFrame:
+    """``docs`` without what the model rejects; each text is rated in the pass that drops it."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for rows, data, offsets in pieces(batches):
+            good = [r.column("score").to_numpy() for r in rate(shared)([rows])]
+            yield rows.filter(pa.array(np.concatenate(good) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score_quality(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

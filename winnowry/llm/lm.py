@@ -33,7 +33,7 @@ from winnowry.llm.textops import TOKENS, Rolling, pieces, spans
 
 DEPTH = 3
 FOLDS, HELD = 7, 2
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
 END = 0xFF
 
 
@@ -66,7 +66,7 @@ def distinct_tokens(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hash
 
 def count(batches):
     """For mapInArrow: counts of tokens and grams, summed over what a piece holds."""
-    for _, data, offsets in pieces(batches, limit=16 << 20):
+    for _, data, offsets in pieces(batches, limit=4 << 20):
         starts, ends, _ = spans(TOKENS[data], offsets)
         tokens, n = distinct_tokens(data, starts, ends, Rolling(LOWER[data]).of(starts, ends))
         grams, m = np.unique(byte_grams(data, offsets)[0], return_counts=True)
@@ -78,7 +78,7 @@ def ask(batches):
     for batch in batches:
         blocks = batch.column("block").to_numpy()
         for b in np.unique(blocks):
-            for _, data, offsets in pieces([batch.filter(pa.array(blocks == b))], limit=16 << 20):
+            for _, data, offsets in pieces([batch.filter(pa.array(blocks == b))], limit=4 << 20):
                 starts, ends, _ = spans(TOKENS[data], offsets)
                 tokens, _ = distinct_tokens(data, starts, ends, Rolling(LOWER[data]).of(starts, ends))
                 grams = np.unique(byte_grams(data, offsets)[0])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 ITEMS = """
@@ -52,7 +54,9 @@ VIEWS = {"fx_items": (ITEMS, "orders"), "fx_candidates": (CANDIDATES, "lineitem"
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over its table, as a DataFrame."""
     sql, table = VIEWS[name]
-    return spark.sql(sql.replace(f"from {table}", "from {t}"), t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    held = f"{table}_{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(held)
+    return spark.sql(sql.replace(f"from {table}", f"from {held}"))
 
 
 def ctes(*names: str) -> str:

@@ -1,6 +1,7 @@
 """Connected groups from buckets of candidates, without all pairs of a bucket.
 
-First every member of a bucket is compared with three members of it. What that
+First every member of a bucket is compared with three members of it, one of them that which
+meets most others in all its buckets: of edited copies of a text it is the one nearest to all. What that
 leaves apart is compared in full, but only across different groups, so that a bucket of
 one large group costs a comparison a member.
 """
@@ -41,16 +42,18 @@ def link(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], Dat
     members count once.
     """
     own, other = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.struct(F.min("id").alias("first"), F.max("id").alias("last"), F.min_by("id", other).alias("any")).alias("hubs"), F.bit_xor(own).alias("h1"), F.bit_xor(other).alias("h2")).where("n > 1")
-    sizes = sizes.groupBy("n", "hubs", "h1", "h2").agg(F.min("bucket").alias("bucket"))
-    shared = staged(members.join(sizes.select("bucket", "hubs"), "bucket"), "buckets")
-    spokes = shared.select("id", F.explode(F.array("hubs.first", "hubs.last", "hubs.any")).alias("hub")).where("id <> hub").select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor(own).alias("h1"), F.bit_xor(other).alias("h2")).where("n > 1")
+    sizes = sizes.groupBy("n", "first", "last", "h1", "h2").agg(F.min("bucket").alias("bucket"))
+    shared = staged(members.join(sizes.select("bucket", "n"), "bucket"), "buckets")
+    met = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    hubs = shared.join(met, "id").groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max_by("id", "met").alias("central"))
+    spokes = shared.join(hubs, "bucket").select("id", F.explode(F.array("first", "last", "central")).alias("hub")).where("id <> hub").select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
     y = spokes.join(nodes, "id").alias("y")
     stars = y.join(nodes.alias("x"), F.expr("x.id = y.hub")).where(near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     first = staged(verify(stars), "links")
     groups = components(first)
 
-    placed = shared.drop("hubs").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = shared.drop("n").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = staged(placed, "placed")
     stats = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n")).where("groups > 1")
     stats = staged(stats.withColumn("large", (F.col("n") > LARGE) & (F.col("groups") * 8 < F.col("n"))).select("bucket", "large"), "mixed")

@@ -9,7 +9,7 @@ most ``DISTANCE // CHUNKS`` = 1 errors, so leaving each component of each chunk
 gives keys of which every pair under the distance shares one. Links are confirmed
 on the full sets.
 
-A pair of similarity 0.8 exceeds either distance with a chance of 2e-5, a closer one less.
+A pair of similarity 0.8 exceeds a distance with a chance of about 2e-5, a closer one less.
 
 Defined results: without words or text a document is linked with nothing; with fewer
 words than k the whole sequence is its one shingle; equal rows are one text; a null doc_id
@@ -18,6 +18,9 @@ takes part and never becomes a component's id unless all of it are null.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +32,8 @@ from winnowry.llm.textops import TOKENS, Rolling, grams, mix, pieces, signed, sp
 
 INDEXED, CHUNKS, DISTANCE = 40, 10, 19
 COMPONENTS, FAR = 1024, 201
-#: Components by which most pairs are told apart, and the differences among them beyond which they are.
-GLANCE, GLANCE_FAR = 64, 24
+#: Fewer components by which most pairs are told apart, each with the differences beyond which they are.
+GLANCES = ((64, 24), (256, 64))
 LOWER = np.where(np.isin(np.arange(256), np.arange(65, 91)), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 SEEDS = (splitmix(COMPONENTS, 101) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -107,18 +110,19 @@ def full_sets(k: int):
     return run
 
 
-def differing(x: str, y: str, longs: range) -> Column:
-    """Different 2-bit components, 32 of them in a long."""
-    n = F.lit(0)
-    for i in longs:
-        z = F.col(f"{x}.sig")[i].bitwiseXOR(F.col(f"{y}.sig")[i])
-        n = n + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return n
+def unequal(a: Column, b: Column) -> Column:
+    """Different 2-bit components of 32 in a long."""
+    z = a.bitwiseXOR(b)
+    return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
 def near(x: str, y: str, percent: int = 80) -> Column:
+    """The glances stay short, as the JVM never compiles a method of more than 8,000 bytes; few pairs come to the whole distance."""
     fit = (100 * F.col(f"{x}.n") >= percent * F.col(f"{y}.n")) & (100 * F.col(f"{y}.n") >= percent * F.col(f"{x}.n"))
-    return fit & (differing(x, y, range(GLANCE // 32)) <= GLANCE_FAR) & (differing(x, y, range(COMPONENTS // 32)) <= FAR)
+    a, b = F.col(f"{x}.sig"), F.col(f"{y}.sig")
+    for components, far in GLANCES:
+        fit = fit & (reduce(add, [unequal(a[i], b[i]) for i in range(components // 32)]) <= far)
+    return fit & (F.aggregate(F.zip_with(a, b, unequal), F.lit(0), add) <= FAR)
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:

@@ -57,15 +57,18 @@ def link(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], Dat
     placed = staged(placed, "placed")
     stats = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n")).where("groups > 1")
     stats = staged(stats.withColumn("large", (F.col("n") > LARGE) & (F.col("groups") * 8 < F.col("n"))).select("bucket", "large"), "mixed")
-    mixed = placed.join(stats, "bucket").join(nodes, "id")
+    mixed = placed.join(stats, "bucket")
+    met = mixed.groupBy("id").agg(F.collect_list("bucket").alias("met"))
+    mixed = mixed.join(met, "id").join(nodes, "id")
+    once = F.expr("array_min(array_intersect(x.met, y.met)) = x.bucket")  # a pair counts in one of the buckets it shares
     few = mixed.where("not large")
-    across = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket and x.id < y.id and x.component <> y.component") & near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    across = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket and x.id < y.id and x.component <> y.component") & near("x", "y") & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     if not stats.where("large").isEmpty():
         big = mixed.where("large")
         tags = placed.join(stats.where("large"), "bucket").select("bucket", "component").distinct()
         crossed = tags.alias("p").join(tags.alias("q"), F.expr("p.bucket = q.bucket and p.component < q.component")).select("p.bucket", F.col("p.component").alias("p"), F.col("q.component").alias("q")).alias("c")
         left = crossed.join(big.alias("x"), F.expr("c.bucket = x.bucket and c.p = x.component"))
-        apart = left.join(big.alias("y"), F.expr("c.bucket = y.bucket and c.q = y.component") & near("x", "y"))
+        apart = left.join(big.alias("y"), F.expr("c.bucket = y.bucket and c.q = y.component") & near("x", "y") & once)
         across = across.union(apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
     second = staged(verify(across.distinct()), "links")
     if second.isEmpty():

@@ -158,6 +158,15 @@ def test_lines(spark, none):
     assert linededup.dedup_lines(none.select("doc_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 30])
+def test_lines_with_one_letter_changed(spark, n):
+    lines = [" ".join(f"w{i * 7919 % 1009}ord{j * 31 % 97}" for j in range(n)) for i in range(30)]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(100 + i, x.replace("ord62 ", "orb62 ")) for i, x in enumerate(lines)]
+    found = sum(r.n_removed for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # the lines of one letter changed, each near its own and no other's
+    assert found >= 28
+
+
 def test_minhash(docs, none):
     sets = {}
     for i, t, *_ in ROWS:

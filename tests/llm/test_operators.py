@@ -167,6 +167,13 @@ def test_lines_with_one_letter_changed(spark, n):
     assert found >= 28
 
 
+def test_lines_of_a_thousand_equal_rows(spark):
+    line = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(1, line)] + [(None, line)] * 1000, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_removed) for r in linededup.dedup_lines(df).collect())
+    assert got == [("1", 0)] + [("None", 1)] * 1000
+
+
 def test_minhash(docs, none):
     sets = {}
     for i, t, *_ in ROWS:

@@ -174,6 +174,16 @@ def test_lines_of_a_thousand_equal_rows(spark):
     assert got == [("1", 0)] + [("None", 1)] * 1000
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef"]
+    close = texts[0] + " more"
+    rows = [(None, texts[0]), (None, close), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (8, texts[4] + " more"), (None, texts[4]), (None, None), (3, "")]
+    got = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [r.text for r in got]
+    assert sum(t in kept for t in (texts[0], close)) == 1
+    assert sorted((str(r.doc_id), r.text or "") for r in got if r.text not in (texts[0], close)) == sorted([("None", texts[1]), ("7", texts[2]), ("7", texts[3]), ("8", texts[4] + " more"), ("None", ""), ("3", "")])
+
+
 def test_minhash(docs, none):
     sets = {}
     for i, t, *_ in ROWS:

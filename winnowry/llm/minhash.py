@@ -126,7 +126,7 @@ def near(x: str, y: str, percent: int = 80) -> Column:
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, row (its key), n_shingles, component_id and kept. Links: 100 * intersection >= percent * union."""
+    """Per row: doc_id, row (its key), n_shingles, component_id, kept and group (null without shingles). Links: 100 * intersection >= percent * union."""
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text", row_key().alias("row"))
     signed_rows = staged(texts.mapInArrow(sign(k), "doc_id long, row long, n long, s1 long, s2 long, sig array<long>, keys array<long>"), "signed")
@@ -148,15 +148,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     rows = signed_rows.select("doc_id", "row", "n", "s1", "s2")
     full = staged(rows.where("n > 0").join(placed, ["s1", "s2", "n"]), "grouped")
     names = full.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(names, "group").select("doc_id", "row", "n", "component_id").union(rows.where("n = 0").select("doc_id", "row", "n", "doc_id"))
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = full.join(names, "group").select("doc_id", "row", "n", "component_id", "group").union(rows.where("n = 0").select("doc_id", "row", "n", "doc_id", F.lit(None).cast("long")))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "group")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest doc_id. Documents without shingles stay."""
-    kept = near_duplicates(docs, k, percent).where("kept").withColumn("_n", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("row")))
-    kept = kept.dropDuplicates(["_n", "n_shingles"]).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    return docs.withColumn("_key", row_key()).join(kept, (F.col("_key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_key", "_id"]).select(*docs.columns)
+    """``docs`` with one document of each group: the first by doc_id, nulls last, then row key. Of documents without shingles equal rows are one."""
+    found = near_duplicates(docs, k, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    kept = found.where("group is not null").groupBy("group").agg(first).select(F.col("first.row").alias("_row"))
+    kept = kept.union(found.where("group is null").select("row").distinct())
+    return docs.withColumn("_key", row_key()).join(kept, F.col("_key") == F.col("_row")).dropDuplicates(["_key", "doc_id"]).select(*docs.columns)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,6 +230,24 @@ def _(spark, d, items):
     return triage.lexical_best(rows, history)
 
 
+@query("j08_lexical_novelty_all", None, ("fx_items",))
+def _(spark, d, items):
+    """Every item is a candidate or history, as in j06. Titles of the same tokens are compared once."""
+    keyed = items.select(F.col("item_id").alias("id"), F.array_sort(text.tokens("title")).alias("tokens"))
+    once = lambda df: df.groupBy("tokens").agg(F.min("id").alias("id")).select("id", "tokens")
+    candidates, history = keyed.where("id % 4 <> 0"), keyed.where("id % 4 = 0")
+    named = candidates.groupBy("tokens").agg(F.min("id").alias("named"))
+    best = triage.lexical_best(once(candidates), once(history)).withColumnRenamed("id", "named")
+    return candidates.join(named, "tokens").join(best, "named").select("id", "sim", "best_id")
+
+
+@query("p31_novelty_penalty_j07", f"with best as ({COSINE}) select id, sim < 0.86 as novel, case when sim >= 0.8 * 0.86 then greatest(0, trunc((id % 100) * (1 - 0.3 * least(1.0, (sim - 0.8 * 0.86) / (0.2 * 0.86)))))::int else (id % 100)::int end as new_score from best")
+def _(spark, d):
+    s, t = QUERIES["j07_vector_novelty"](spark, d).withColumn("score", (F.col("id") % 100).cast("int")), 0.86
+    cut = 1 - 0.3 * F.least(F.lit(1.0), (F.col("sim") - 0.8 * t) / (0.2 * t))
+    return s.select("id", (F.col("sim") < t).alias("novel"), F.when(F.col("sim") >= 0.8 * t, F.greatest(F.lit(0), (F.col("score") * cut).cast("int"))).otherwise(F.col("score")).alias("new_score"))
+
+
 @query("a01_table_counts", "select 'items' as name, count(*) as n from fx_items union all select 'outputs', count(*) from fx_outputs union all select 'returned', count_if(status_code = 'R')::bigint from fx_outputs", ("fx_items", "fx_outputs"))
 def _(spark, d, items, outputs):
     one = lambda df, name, agg: df.agg(agg.alias("n")).select(F.lit(name).alias("name"), "n")

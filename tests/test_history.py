@@ -4,13 +4,20 @@ from collections import Counter
 import duckdb
 import pytest
 
-from winnowry.plans import history  # noqa: F401
+from winnowry.plans import history
 from winnowry.plans.queries import ORACLES, QUERIES
 from winnowry.sources.fixtures import view
 
 DIR = "/root/testdata/sf0.001"
 
 
+def test_clusters_are_the_cheapest_of_ten_restarts(spark, monkeypatch):
+    seeds, fit = [], history.KMeans.fit
+    monkeypatch.setattr(history.KMeans, "fit", lambda self, df: seeds.append(self.getSeed()) or fit(self, df))
+    rows = QUERIES["a07_clusters"](spark, DIR).collect()
+    assert len(set(seeds)) == 10 and sum(r.n for r in rows) == spark.read.parquet(f"{DIR}/embeddings.parquet").count()
+
+
 def test_lexical_novelty_of_all_items(spark):
     import re
 

@@ -11,6 +11,10 @@ from winnowry.plans.queries import PARSED, query
 from winnowry.streaming import jobs
 
 
+#: Seeds from which k-means is started; the cheapest result is taken.
+RESTARTS = 10
+
+
 def parsed(responses):
     body = F.when(F.col("response").contains("```json"), F.regexp_extract("response", r"\{.*\}", 0)).otherwise(F.col("response"))
     return responses.select("event_id", F.from_json(body, "relevant boolean, virality_score int, suggested_archetype string, must_include_numbers array<string>").alias("j"))
@@ -104,7 +108,7 @@ def _(spark, d):
 def _(spark, d):
     """k-means in k = 8 groups, of several seeds the cheapest: rows of each cluster's size."""
     v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    models = [KMeans(k=8, seed=42 + i).fit(v) for i in range(3)]
+    models = [KMeans(k=8, seed=42 + i).fit(v) for i in range(RESTARTS)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(v).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -75,6 +75,13 @@ def test_secrets(spark, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_copied_within_one_source(spark):
+    wide, narrow = "aZ9kQ2mX7pL4wT8vB3nC6", "Yx8kQ2mX7pL4wT8vB3nD5"
+    rows = [(i, wide, "s1") for i in range(30)] + [(100 + i, narrow, "s1") for i in range(3)]
+    got = {r.doc_id: len(r.spans) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: 0 for i in range(30)} | {100 + i: 1 for i in range(3)}
+
+
 def test_licenses(spark, none):
     df = spark.createDataFrame([(1, "The MIT License! " + licenses.TEMPLATES["mit"]), (2, None), (3, "CC BY cc by"), (4, "a " + licenses.TEMPLATES["bsd"].replace("source", "the source"))], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.find_licenses(df).collect()}

@@ -3,8 +3,9 @@
 Base patterns find keyed values, access keys and hex strings in every text. Besides
 those, long tokens that mix character classes are candidates. The hash of every
 candidate's value is counted over distinct repositories (documents) and owners
-(sources): a value of one owner that looks random is a live-looking credential, and its
-span is added; a value of several owners is a copied example, and is not.
+(sources): a value of one owner and few repositories that looks random is a live-looking
+credential, and its span is added; a value of several owners, or of many repositories of one,
+is a copied example, and is not.
 
 Places are code points, ends exclusive. Defined results: null text is empty; null
 owners count as one owner; repeated rows count as repositories of their own only if
@@ -32,6 +33,8 @@ LEAST_VALUE = 6
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 #: Owners from which on a value is a copied example.
 COPIED = 2
+#: Repositories from which on a value is a copied example even within one owner.
+SPREAD = 10
 #: Bits per character from which on a value looks random.
 RANDOM_BITS = 3.0
 
@@ -87,7 +90,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     each = found.where(F.size("spans") > 0).select("row", "doc_id", "owner", F.explode("spans").alias("s")).withColumn("hash", F.sha2(F.col("s.value"), 256))
     owned = each.groupBy("hash", "owner", "doc_id").count().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
     spread = owned.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
-    live = (F.col("owners") < COPIED) & (F.col("s.bits") >= RANDOM_BITS)
+    live = (F.col("owners") < COPIED) & (F.col("repositories") < SPREAD) & (F.col("s.bits") >= RANDOM_BITS)
     known = each.join(spread, "hash").withColumn("live", live).where((F.col("s.kind") != "token") | F.col("live"))
     order = F.when(F.col("s.kind") == "assign", 0).when(F.col("s.kind") == "access", 1).when(F.col("s.kind") == "hex", 2).otherwise(3)
     one = F.struct(F.col("s.start").alias("start"), order.alias("order"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), F.col("s.bits").alias("bits"), "owners", "repositories", "live")

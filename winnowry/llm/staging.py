@@ -43,3 +43,11 @@ def small_batches(spark: SparkSession) -> None:
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A key of the row's id and text. Equal rows share it and have equal results."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name

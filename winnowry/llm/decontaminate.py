@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnowry.llm.staging import row_key, small_batches
+from winnowry.llm.staging import row_key, small_batches, unused
 from winnowry.llm.textops import WORDS, pieces, spans
 
 WINDOW = 13
@@ -179,8 +179,9 @@ def judged(found: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    bad = judged(find_contamination(docs.select(row_key().alias("doc_id"), "text"), benchmark, window)).where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_key", row_key()).join(bad, F.col("_key") == F.col("_row"), "left_anti").drop("_key")
+    bad = judged(find_contamination(docs.select(row_key().alias("doc_id"), "text"), benchmark, window)).where("contaminated").select(F.col("doc_id").alias("row")).distinct()
+    key, other = unused(docs, "key"), unused(docs, "other")
+    return docs.withColumn(key, row_key()).join(bad.withColumnRenamed("row", other), F.col(key) == F.col(other), "left_anti").drop(key)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

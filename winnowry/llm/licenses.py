@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from winnowry.llm.decontaminate import normalised
 from winnowry.llm.staging import row_key, small_batches, staged
-from winnowry.llm.textops import WORDS, Rolling, grams, pieces, signed, spans
+from winnowry.llm.textops import WORDS, grams, hash_runs, pieces, signed, spans
 
 #: Phrases and their labels.
 PHRASES = {
@@ -48,7 +48,7 @@ NEIGHBOUR, VOTES, VERIFIED = 8, 0.3, 0.5
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mapped = WORDS[data]
     starts, ends, first = spans(mapped, offsets)
-    return Rolling(mapped).of(starts, ends), first
+    return hash_runs(mapped, starts, ends), first
 
 
 def one_text(text: str) -> np.ndarray:

@@ -1,22 +1,26 @@
 """Connected groups from buckets of candidates, without all pairs of a bucket.
 
 First every member of a bucket is compared with three members of it, one of them that which
-meets most others in all its buckets: of edited copies of a text it is the one nearest to all. What that
-leaves apart is compared in full, but only across different groups, so that a bucket of
-one large group costs a comparison a member.
+meets most others in all its buckets: of edited copies of a text it is the one nearest to all. Members of
+buckets that this leaves in several groups are compared with ``HUBS`` more members of other groups. What is
+apart even then is compared in full, but only across different groups, so that a bucket of
+one large group costs some comparisons a member. A bucket whose members are all near each other by their
+signatures, but few of them linked, costs all its pairs: they are compared, none is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnowry.llm.staging import staged
 
 #: Members from which on a bucket of few groups is joined group by group.
 LARGE = 500
+#: Members of a bucket of several groups that all others are compared with before groups are compared in full.
+HUBS = 32
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,6 +37,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def starred(spokes: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """The pairs (a, b) of a hub and a member that are near."""
+    y = spokes.join(nodes, "id").alias("y")
+    return y.join(nodes.alias("x"), F.expr("x.id = y.hub")).where(near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def apart(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(bucket, id, component) of the members of buckets that hold several groups."""
+    placed = shared.select("bucket", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
+    return staged(placed.join(mixed, "bucket"), "mixed")
+
+
 def link(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column]) -> DataFrame:
     """(id, component) of all ids that are linked with another.
 
@@ -48,29 +65,36 @@ def link(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], Dat
     met = shared.groupBy("id").agg(F.sum("n").alias("met"))
     hubs = shared.join(met, "id").groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max_by("id", "met").alias("central"))
     spokes = shared.join(hubs, "bucket").select("id", F.explode(F.array("first", "last", "central")).alias("hub")).where("id <> hub").select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
-    y = spokes.join(nodes, "id").alias("y")
-    stars = y.join(nodes.alias("x"), F.expr("x.id = y.hub")).where(near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    first = staged(verify(stars), "links")
+    first = staged(verify(starred(spokes, nodes, near)), "links")
     groups = components(first)
 
-    placed = shared.drop("n").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = staged(placed, "placed")
-    stats = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n")).where("groups > 1")
+    mixed = apart(shared, groups)
+    if mixed.isEmpty():
+        return groups
+    place = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
+    more = mixed.select("bucket", F.col("id").alias("hub"), F.col("component").alias("own"), F.row_number().over(place).alias("rank")).where(F.col("rank") <= HUBS)
+    spokes = mixed.join(more, "bucket").where("component <> own").select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
+    second = staged(verify(starred(spokes, nodes, near)), "links")
+    links = first.union(second)
+    if not second.isEmpty():
+        groups = components(links)
+        mixed = apart(shared, groups)
+
+    stats = mixed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"))
     stats = staged(stats.withColumn("large", (F.col("n") > LARGE) & (F.col("groups") * 8 < F.col("n"))).select("bucket", "large"), "mixed")
-    mixed = placed.join(stats, "bucket")
     met = mixed.groupBy("id").agg(F.collect_list("bucket").alias("met"))
-    mixed = mixed.join(met, "id").join(nodes, "id")
+    mixed = mixed.join(stats, "bucket").join(met, "id").join(nodes, "id")
     once = F.expr("array_min(array_intersect(x.met, y.met)) = x.bucket")  # a pair counts in one of the buckets it shares
     few = mixed.where("not large")
     across = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket and x.id < y.id and x.component <> y.component") & near("x", "y") & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     if not stats.where("large").isEmpty():
         big = mixed.where("large")
-        tags = placed.join(stats.where("large"), "bucket").select("bucket", "component").distinct()
+        tags = big.select("bucket", "component").distinct()
         crossed = tags.alias("p").join(tags.alias("q"), F.expr("p.bucket = q.bucket and p.component < q.component")).select("p.bucket", F.col("p.component").alias("p"), F.col("q.component").alias("q")).alias("c")
         left = crossed.join(big.alias("x"), F.expr("c.bucket = x.bucket and c.p = x.component"))
-        apart = left.join(big.alias("y"), F.expr("c.bucket = y.bucket and c.q = y.component") & near("x", "y") & once)
-        across = across.union(apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
-    second = staged(verify(across.distinct()), "links")
-    if second.isEmpty():
+        pairs = left.join(big.alias("y"), F.expr("c.bucket = y.bucket and c.q = y.component") & near("x", "y") & once)
+        across = across.union(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    third = staged(verify(across.distinct()), "links")
+    if third.isEmpty():
         return groups
-    return components(first.union(second))
+    return components(links.union(third))

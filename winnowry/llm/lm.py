@@ -14,7 +14,8 @@ scoring, documents are dealt into blocks of about ``BLOCK_BYTES`` of text by has
 for each distinct gram and token it holds, and gets their values back beside its texts. Nothing grows in one place.
 
 Defined results: null text is empty and has the end alone; a null doc_id learns and is
-not held out; without training texts every bit has probability 1/2, and counts are 0.
+not held out; equal rows count each and score alike; an empty table gives none; other columns
+are not read; a text longer than a block is a block's alone; without training texts every bit has probability 1/2, and counts are 0.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from winnowry.llm.minhash import LOWER
 from winnowry.llm.staging import small_batches, staged
-from winnowry.llm.textops import TOKENS, Rolling, pieces, spans
+from winnowry.llm.textops import TOKENS, hash_runs, pieces, spans
 
 DEPTH = 3
 FOLDS, HELD = 7, 2
@@ -68,7 +69,7 @@ def count(batches):
     """For mapInArrow: counts of tokens and grams, summed over what a piece holds."""
     for _, data, offsets in pieces(batches, limit=4 << 20):
         starts, ends, _ = spans(TOKENS[data], offsets)
-        tokens, n = distinct_tokens(data, starts, ends, Rolling(LOWER[data]).of(starts, ends))
+        tokens, n = distinct_tokens(data, starts, ends, hash_runs(LOWER[data], starts, ends))
         grams, m = np.unique(byte_grams(data, offsets)[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([tokens, pa.nulls(len(grams), pa.binary())]), pa.array(np.concatenate([np.zeros(len(n), np.int64), grams.astype(np.int64)])), pa.array(np.concatenate([n, m]).astype(np.int64))], ["token", "gram", "n"])
 
@@ -80,7 +81,7 @@ def ask(batches):
         for b in np.unique(blocks):
             for _, data, offsets in pieces([batch.filter(pa.array(blocks == b))], limit=4 << 20):
                 starts, ends, _ = spans(TOKENS[data], offsets)
-                tokens, _ = distinct_tokens(data, starts, ends, Rolling(LOWER[data]).of(starts, ends))
+                tokens, _ = distinct_tokens(data, starts, ends, hash_runs(LOWER[data], starts, ends))
                 grams = np.unique(byte_grams(data, offsets)[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens) + len(grams), b, np.int32)), pa.concat_arrays([tokens, pa.nulls(len(grams), pa.binary())]), pa.array(np.concatenate([np.zeros(len(tokens), np.int64), grams.astype(np.int64)]))], ["block", "token", "gram"])
 
@@ -156,7 +157,7 @@ def rate(block, texts: pa.Table, values: pa.Table) -> pa.Table:
         col = known.column("token").combine_chunks()
         off = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset).astype(np.int64)
         raw = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]]
-        th = Rolling(raw).of(off[:-1] - off[0], off[1:] - off[0])
+        th = hash_runs(raw, off[:-1] - off[0], off[1:] - off[0])
     else:
         th = np.zeros(0, np.uint64)
     by = np.argsort(th)
@@ -165,7 +166,7 @@ def rate(block, texts: pa.Table, values: pa.Table) -> pa.Table:
         every, first = byte_grams(data, offsets)
         score = np.add.reduceat(gv[np.searchsorted(g, every.astype(np.int64))], first[:-1])
         starts, ends, tfirst = spans(TOKENS[data], offsets)
-        at = np.searchsorted(th, Rolling(LOWER[data]).of(starts, ends))
+        at = np.searchsorted(th, hash_runs(LOWER[data], starts, ends))
         base = np.concatenate([[0], np.cumsum(tv[at])])
         seen = np.concatenate([[0], np.cumsum(tn[at] > 0)])
         out.append(pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(tfirst)), pa.array(seen[tfirst[1:]] - seen[tfirst[:-1]]), pa.array(base[tfirst[1:]] - base[tfirst[:-1]]), pa.array(score), pa.array(np.diff(offsets))], ["doc_id", "words", "known", "base", "score", "n_bytes"]))

@@ -13,7 +13,8 @@ A pair of similarity 0.8 exceeds a distance with a chance of about 2e-5, a close
 
 Defined results: without words or text a document is linked with nothing; with fewer
 words than k the whole sequence is its one shingle; equal rows are one text; a null doc_id
-takes part and never becomes a component's id unless all of it are null.
+takes part and never becomes a component's id unless all of it are null; an empty table gives
+none; ``keep_one`` keeps other columns whatever their names. Sets are of 64-bit hashes of whole shingles.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnowry.llm.linking import link
-from winnowry.llm.staging import row_key, small_batches, staged
-from winnowry.llm.textops import TOKENS, Rolling, grams, mix, pieces, signed, spans, splitmix, token_table
+from winnowry.llm.staging import row_key, small_batches, staged, unused
+from winnowry.llm.textops import TOKENS, grams, hash_runs, mix, pieces, signed, spans, splitmix, token_table
 
 INDEXED, CHUNKS, DISTANCE = 40, 10, 19
 COMPONENTS, FAR = 1024, 201
@@ -41,7 +42,7 @@ SEEDS = (splitmix(COMPONENTS, 101) >> np.uint64(32)).astype(np.uint32) | np.uint
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and each text's first."""
     starts, ends, first = spans(TOKENS[data], offsets)
-    words = Rolling(LOWER[data]).of(starts, ends)
+    words = hash_runs(LOWER[data], starts, ends)
     every, begin = grams(words, first, k)
     n_words = np.diff(first)
     out = []
@@ -156,9 +157,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the first by doc_id, nulls last, then row key. Of documents without shingles equal rows are one."""
     found = near_duplicates(docs, k, percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
-    kept = found.where("group is not null").groupBy("group").agg(first).select(F.col("first.row").alias("_row"))
-    kept = kept.union(found.where("group is null").select("row").distinct())
-    return docs.withColumn("_key", row_key()).join(kept, F.col("_key") == F.col("_row")).dropDuplicates(["_key", "doc_id"]).select(*docs.columns)
+    kept = found.where("group is not null").groupBy("group").agg(first).select("first.doc_id", "first.row")
+    kept = kept.union(found.where("group is null").select("doc_id", "row").distinct())
+    key, own, other = (unused(docs, c) for c in ("key", "own", "other"))
+    joined = docs.withColumn(key, row_key()).join(kept.select(F.col("doc_id").alias(own), F.col("row").alias(other)), (F.col(key) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    return joined.dropDuplicates([key, "doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ reruns agree.
 Defined results: a null or empty text has size 0 and is never needed (taken 0); null
 sources are one source, last in order; repeated rows are documents of their own, ranked
 side by side (equal rows are interchangeable); an empty table gives an empty result;
-other columns are carried along unless their names begin with ``_``.
+other columns are carried along, but for ``text`` and those with a name of the result's, which are replaced.
 """
 
 from __future__ import annotations
@@ -58,9 +58,11 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) without the text, with size, source_size, target, copies and taken."""
-    own = [c for c in docs.columns if c != "text" and c[0] != "_" and c not in ("size", "source_size", "target", "copies", "taken")]
-    base = staged(docs.select(*own, words().alias("size"), uniform("doc_id", "text").alias("_u")), "mix")  # texts are read once
+    """``docs`` (doc_id, text, source, ...) without the text, with size, source_size, target, copies and taken, which replace columns of these names; others stay."""
+    made = ("size", "source_size", "target", "copies", "taken")
+    own = [c for c in docs.columns if c.lower() not in ("text", "doc_id", "source", *made)]
+    names = {f"_own{i}": c for i, c in enumerate(own)}
+    base = staged(docs.select("doc_id", "source", *[F.col(f"`{c}`").alias(n) for n, c in names.items()], words().alias("size"), uniform("doc_id", "text").alias("_u")), "mix")  # texts are read once
     by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     share_of = targets(by_source, weights, share, most)
     share_of = share_of.withColumn("_copies", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -81,7 +83,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     running = F.coalesce(F.sum("size").over(Window.partitionBy("_source").orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = edge.withColumn("_extra", ((F.col("_before") + running + F.col("size") / 2 <= F.col("_need")) & (F.col("size") > 0)).cast("int"))
     out = clear.unionByName(edge).withColumn("copies", F.when(F.col("size") > 0, F.col("_whole") + F.col("_extra")).otherwise(0).cast("long"))
-    return out.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    back = ["doc_id", "source", *[F.col(n).alias(c) for n, c in names.items()]]
+    return out.select(*back, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ lost executor costs a re-read and not a recomputation of all that led to it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,10 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for staged tables; a local one is made only where none is set."""
+    """The folder for staged tables. Where none is set, a local one is made in local mode; on a cluster that is an error."""
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="winnowry-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

@@ -7,13 +7,13 @@ is the stretch of all strings that share a trigger.
 
 Of the corpus order that the phrases' suffixes define, only one thing is asked: which
 strings share their first ``LENGTH`` bytes with a neighbour. So suffixes are put into classes by that
-depth, not into a total order: phrases first (the dictionary, by two 64-bit hashes of what they
-hold), and what is equal as a whole is settled there. Only phrases that share a trigger
+depth, not into a total order: phrases first (the dictionary, by the hash of their trigger and one of all they
+hold modulo the prime 2**61 - 1), and what is equal as a whole is settled there. Only phrases that share a trigger
 but differ elsewhere are split, into stretches of ``STRETCH`` starts and then into single ones; of equal
 phrases one goes on. A stretch of highly repetitive text thus costs one row a phrase.
 
 Defined results: null text is empty; strings never cross texts; equal rows repeat each
-other; texts shorter than ``LENGTH`` stay whole; what is kept is bytes, as a cut may fall inside a character.
+other; an empty table gives none; other columns are not read; texts shorter than ``LENGTH`` stay whole; what is kept is bytes, as a cut may fall inside a character.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnowry.llm.staging import row_key, small_batches, staged
-from winnowry.llm.textops import Rolling, mix, pieces, signed
+from winnowry.llm.textops import Rolling, Stretches, mix, pieces, signed
 
 LENGTH, GRAM, STRETCH = 400, 128, 16
 RECORD = "row long, core long, ext long, lo int, hi int, at int"
@@ -50,7 +50,7 @@ def parse(length: int, gram: int):
             size = np.diff(offsets)
             if not (size >= length).any():
                 continue
-            first, second = Rolling(data, 1), Rolling(data, 2)
+            first, second = Rolling(data, 1), Stretches(data, 2)
             at = np.arange(len(data) - gram + 1)
             bits = np.uint64(int(len(data)).bit_length())
             keyed = first.of(at, at + gram) >> bits << bits | at.astype(np.uint64)
@@ -76,7 +76,7 @@ def split(length: int, stretch: int):
 
     def run(batches):
         for rows, data, offsets in pieces(batches):
-            first, second = Rolling(data, 1), Rolling(data, 2)
+            first, second = Rolling(data, 1), Stretches(data, 2)
             parts = rows.column("parts")
             flat = parts.flatten()
             n = np.diff(parts.offsets.to_numpy())

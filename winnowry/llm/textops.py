@@ -1,7 +1,9 @@
 """Vectorised work on the bytes of a batch of texts (runs inside tasks).
 
-All functions work on the concatenated UTF-8 bytes of many texts at once. Hashes
-are polynomial ones modulo 2**64 over random byte values, read from prefix sums.
+All functions work on the concatenated UTF-8 bytes of many texts at once. Words are hashed by
+sums of random byte values times random factors of the places; any stretch by a polynomial modulo
+the prime 2**61 - 1 (``Stretches``), read from prefix sums. ``Rolling``, modulo 2**64, is quicker, but different stretches
+made for it can agree, so it only chooses places.
 """
 
 from __future__ import annotations
@@ -85,8 +87,80 @@ def spans(mapped: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_factors: dict[int, np.ndarray] = {}
+
+
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Hashes of the runs of bytes from starts to ends, which may not overlap: a random value of each byte times a random factor of its place, summed."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    factors = _factors.get(seed)
+    if factors is None or len(factors) < size.max():
+        factors = splitmix(max(int(size.max()), 4096), seed + 31) | np.uint64(1)
+        if len(factors) <= PIECE_BYTES:
+            _factors[seed] = factors
+    before = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(before, size)
+    out = np.zeros(len(size), np.uint64)
+    full = size > 0
+    with np.errstate(over="ignore"):
+        if full.any():
+            out[full] = np.add.reduceat(splitmix(256, seed + 7)[data[place + np.repeat(starts, size)]] * factors[place], before[full])
+        return mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+PRIME = (1 << 61) - 1
+_P, _LOW = np.uint64(PRIME), np.uint64(0xFFFFFFFF)
+
+
+def reduced(t: np.ndarray) -> np.ndarray:
+    """Modulo the prime, of values below 2**64."""
+    t = (t & _P) + (t >> np.uint64(61))
+    return np.where(t >= _P, t - _P, t)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Modulo the prime, of values below it; from halves of 32 bits, as 2**61 counts as 1."""
+    ah, al, bh, bl = a >> np.uint64(32), a & _LOW, b >> np.uint64(32), b & _LOW
+    cross, low = ah * bl + al * bh, al * bl
+    return reduced((ah * bh << np.uint64(3)) + (cross >> np.uint64(29)) + ((cross & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (low & _P) + (low >> np.uint64(61)))
+
+
+class Stretches:
+    """Prefix sums from which the hash of any stretch of bytes is read; two different ones agree with a chance of their length in 2**61."""
+
+    _powers: dict[int, np.ndarray] = {}
+
+    def __init__(self, data: np.ndarray, seed: int = 2) -> None:
+        self.base = int(splitmix(1, seed)[0]) % (PRIME - 1000) + 500
+        n, limb = len(data), np.uint64((1 << 21) - 1)
+        up, value = self.powers(self.base, n)[:n], data.astype(np.uint64) + np.uint64(1)
+        total = np.zeros(n + 1, np.uint64)
+        for shift in (0, 21, 42):  # limbs of the powers, whose sums stay below 2**61
+            c = np.cumsum(value * (up >> np.uint64(shift) & limb))
+            total[1:] += (c >> np.uint64(61 - shift)) + ((c & np.uint64((1 << (61 - shift)) - 1)) << np.uint64(shift))
+        self.sums = reduced(total)
+        self.down = self.powers(pow(self.base, -1, PRIME), n + 1)
+
+    def powers(self, base: int, n: int) -> np.ndarray:
+        got = self._powers.get(base)
+        if got is None or len(got) < n:
+            got = np.ones(1, np.uint64)
+            while len(got) < n:
+                got = np.concatenate([got, product(got, np.uint64(pow(base, len(got), PRIME)))])
+            if n <= 4 * PIECE_BYTES:
+                self._powers[base] = got
+        return got
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        there = product(reduced(self.sums[ends] + (_P - self.sums[starts])), self.down[starts])
+        with np.errstate(over="ignore"):
+            return mix(there + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Rolling:
-    """Prefix sums from which the hash of any stretch of bytes is read in constant time."""
+    """Prefix sums from which a quick hash of any stretch of bytes is read, to choose places by; equal hashes don't mean equal bytes."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -8,7 +8,8 @@ are compacted away. The best of all blocks are ranked at the end.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take
 no part, nor do rows without an id; a query meets only vectors of its own dimension;
-ties go to the smaller id; equal rows are candidates of their own; the query's id is never its own candidate.
+ties go to the smaller id; equal rows are candidates of their own; the query's id is never its own candidate;
+components and scores beyond a long count as the nearest long; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,13 @@ def matrix(table: pa.Table) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(table.num_rows, -1)
 
 
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def largest(x: np.ndarray) -> int:
+    return max(int(x.max()), -int(x.min()))
+
+
 def left(x: np.ndarray) -> np.ndarray:
     """Norm of each row's components from each block of dimensions on."""
     mass = np.add.reduceat(x * x, np.arange(0, x.shape[1], DIMS), axis=1)
@@ -44,7 +52,7 @@ def search(k: int):
             return OUT.empty_table()
         q, c = matrix(queries), matrix(rows)
         qid, cid = queries.column("id").to_numpy(), rows.column("id").to_numpy()
-        exact = np.float64 if np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2**53 else object
+        exact = np.float64 if largest(q) * largest(c) * q.shape[1] < 2**53 else object
         columns = np.ascontiguousarray(c.T).astype(exact)
         qf, cl, ql = q.astype(exact), left(c.astype(np.float64)), left(q.astype(np.float64))
         ids, owners, scores = [], [], []
@@ -60,6 +68,7 @@ def search(k: int):
                     floor = np.partition(low - slack, len(low) - k)[len(low) - k]
                     stay = low + slack >= floor
                     alive, part = alive[stay], part[stay]
+            part = np.clip(part, LEAST, MOST) if exact is object else part
             best = np.lexsort((cid[alive], -part))[:k]
             ids.append(cid[alive][best])
             scores.append(part[best].astype(np.int64))

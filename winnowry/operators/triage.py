@@ -45,18 +45,20 @@ def headline_fault(h: str = "title", least: int = 30, most: int = 300) -> Column
 
 
 def categorised(df: DataFrame, text: str = "title") -> DataFrame:
-    """Adds category, category_score and confidence: the best scorecard, ties by order; below the floor NONE."""
-    df = df.withColumn("_flags", F.struct(*[F.lower(text).rlike(p).cast("int").alias(name) for name, p in rules.FLAGS.items()]))
-    flags = {name: F.col(f"_flags.{name}") == 1 for name in rules.FLAGS}
+    """Adds category, category_score, confidence and reasons (flags of the best scorecard): ties by order; below the floor NONE."""
+    # one bit a flag; made under a condition that the optimiser keeps in its place, so that no pattern is matched twice
+    bits = [F.when(F.lower(text).rlike(p), 1 << i).otherwise(0) for i, p in enumerate(rules.FLAGS.values())]
+    df = df.withColumn("_flags", F.when(F.monotonically_increasing_id() >= 0, reduce(lambda a, b: a + b, bits)).otherwise(0))
+    flags = {name: F.col("_flags").bitwiseAND(F.lit(1 << i)) > 0 for i, name in enumerate(rules.FLAGS)}
     flags["symptom|body"] = flags["symptom"] | flags["body"]
     cards = []
     for i, (name, points) in enumerate(rules.SCORECARDS):
         total = reduce(lambda a, b: a + b, [F.when(flags[f], n).otherwise(0) for f, n in points.items()])
-        cards.append(F.struct(total.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
+        cards.append(F.struct(total.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name"), F.array_join(F.array_compact(F.array(*[F.when(flags[f], f) for f in points])), ",").alias("reasons")))
     df = df.withColumn("_cards", F.array(*cards)).withColumn("_best", F.array_max("_cards"))
     enough = F.col("_best.score") >= rules.FLOOR
     total = F.aggregate("_cards", F.lit(0), lambda a, c: a + c["score"])
-    return df.withColumn("category", F.when(enough, F.col("_best.name")).otherwise("NONE")).withColumn("category_score", F.when(enough, F.col("_best.score")).otherwise(0)).withColumn("confidence", F.when(enough, F.col("_best.score") / total).otherwise(0.0)).drop("_cards", "_best", "_flags")
+    return df.withColumn("category", F.when(enough, F.col("_best.name")).otherwise("NONE")).withColumn("category_score", F.when(enough, F.col("_best.score")).otherwise(0)).withColumn("confidence", F.when(enough, F.col("_best.score") / total).otherwise(0.0)).withColumn("reasons", F.when(enough, F.col("_best.reasons")).otherwise("")).drop("_cards", "_best", "_flags")
 
 
 def capped(df: DataFrame, run: list, order: list, key: Column, cap: int | None, most: int) -> DataFrame:

@@ -54,14 +54,15 @@ REJECT = f"coalesce({sql_first('title', rules.NULL_RESULT)}, case when {sql_hits
 def sql_cards() -> str:
     flag = {n: rlike("lower(title)", p) for n, p in rules.FLAGS.items()}
     flag["symptom|body"] = f"({flag['symptom']} or {flag['body']})"
-    return ", ".join("(" + " + ".join(f"(case when {flag[f]} then {n} else 0 end)" for f, n in points.items()) + f") as s{i}" for i, (_, points) in enumerate(rules.SCORECARDS))
+    return ", ".join("(" + " + ".join(f"(case when {flag[f]} then {n} else 0 end)" for f, n in points.items()) + f") as s{i}, concat_ws(',', " + ", ".join(f"case when {flag[f]} then '{f}' end" for f in points) + f") as r{i}" for i, (_, points) in enumerate(rules.SCORECARDS))
 
 
 NAMES = [n for n, _ in rules.SCORECARDS]
 BEST = "greatest(" + ", ".join(f"s{i}" for i in range(len(NAMES))) + ")"
 CATEGORY = "case when best < 30 then 'NONE' " + " ".join(f"when s{i} = best then '{n}'" for i, n in enumerate(NAMES)) + " end"
+REASONS = "case when best < 30 then '' " + " ".join(f"when s{i} = best then r{i}" for i in range(len(NAMES))) + " end"
 TOTAL = " + ".join(f"s{i}" for i in range(len(NAMES)))
-SCORED = f"{ctes('fx_items')}, c0 as (select *, {sql_cards()} from fx_items), c1 as (select *, {BEST} as best from c0), scored as (select *, {CATEGORY} as category, case when best < 30 then 0 else best end as category_score, case when best < 30 then 0.0 else best::double / ({TOTAL}) end as confidence from c1) "
+SCORED = f"{ctes('fx_items')}, c0 as (select *, {sql_cards()} from fx_items), c1 as (select *, {BEST} as best from c0), scored as (select *, {CATEGORY} as category, case when best < 30 then 0 else best end as category_score, case when best < 30 then 0.0 else best::double / ({TOTAL}) end as confidence, {REASONS} as reasons from c1) "
 
 
 @query("p01_content_hash", "select item_id, sha256(lower(trim(url)) || '|' || lower(trim(title))) as content_hash from fx_items", ("fx_items",))
@@ -90,9 +91,9 @@ def _(spark, d, items):
     return items.select("item_id", *[F.lower("title").rlike(p).alias(f"has_{n}") for n, p in rules.FLAGS.items()])
 
 
-@query("p23_category", SCORED + "select item_id, category, category_score, confidence from scored", ("fx_items",))
+@query("p23_category", SCORED + "select item_id, category, category_score, confidence, reasons from scored", ("fx_items",))
 def _(spark, d, items):
-    return triage.categorised(items).select("item_id", "category", "category_score", "confidence")
+    return triage.categorised(items).select("item_id", "category", "category_score", "confidence", "reasons")
 
 
 @query("p24_analysis", SCORED + f"select item_id, {REJECT} as reject, case when {REJECT} is null then category end as category from scored", ("fx_items",))
@@ -159,9 +160,9 @@ def _(spark, d, items):
     return items.select("item_id", triage.truism().alias("reason"))
 
 
-@query("g12_banned_words", "select item_id, (contains(lower(title), 'board')::int + contains(lower(title), 'warning')::int + contains(lower(title), 'framework')::int) >= 2 as banned from fx_items", ("fx_items",))
+@query("g12_banned_words", "select item_id, (" + " + ".join(f"contains(lower(title), '{w}')::int" for w in rules.BANNED) + ") >= 2 as banned from fx_items", ("fx_items",))
 def _(spark, d, items):
-    words = F.array(*[F.lit(w) for w in ("board", "warning", "framework")])
+    words = F.array(*[F.lit(w) for w in rules.BANNED])
     return items.select("item_id", (F.size(F.filter(words, lambda w: F.contains(F.lower("title"), w))) >= 2).alias("banned"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnowry.plans import history  # noqa: F401  registers its queries
+from winnowry.plans import columns, history  # noqa: F401  registers their queries
 from winnowry.plans.queries import ORACLES, QUERIES
 
 

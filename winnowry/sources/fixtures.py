@@ -48,7 +48,14 @@ FEEDBACK = """
 select event_id as feedback_id, cast((event_id % 100)*10 + event_id % 7 as bigint) as output_id, cast(floor(value) as bigint) as likes, case when event_id%2=0 then user_id else null end as shares, ts as recorded_at
 from events
 """
-VIEWS = {"fx_items": (ITEMS, "orders"), "fx_candidates": (CANDIDATES, "lineitem"), "fx_responses": (RESPONSES, "events"), "fx_outputs": (OUTPUTS, "lineitem"), "fx_feedback": (FEEDBACK, "events")}
+SPINES = f"""
+select item_id, pos, item_id % 7 <> 0 as relevant, title as hook, source_name, url, cast(5 + item_id % 6 as int) as clarity,
+ case cast(item_id % 9 as int) when 0 then 'STUDY_SHOCK_COMPARISON' when 1 then 'SIMPLE_HACK_PAIN_RELIEF' when 2 then 'FOOD_SYMPTOM_BENEFIT' when 3 then 'PARENT_CHILD_BIO' when 4 then 'AUTHORITY_CLASSIFICATION' when 5 then 'CULTURE_CONTROVERSY' when 6 then 'TIME_REVERSAL' when 7 then 'BODY_PART_SPECIFIC' else 'NONE' end as category,
+ case when item_id % 3 = 0 then null else 'walk daily' end as action, case when item_id % 2 = 0 then '12%' else '' end as number, case when item_id % 4 = 0 then 'adults aged 50' else '' end as population,
+ case when item_id % 5 = 0 then 'short' else 'people can act on it today' end as why, case when item_id % 8 = 0 then 'none' else 'surprise' end as emotional_hook, case when item_id % 6 = 0 then 'over 8 weeks' else '' end as time_window
+from ({ITEMS}) i
+"""
+VIEWS = {"fx_spine": (SPINES, "orders"), "fx_items": (ITEMS, "orders"), "fx_candidates": (CANDIDATES, "lineitem"), "fx_responses": (RESPONSES, "events"), "fx_outputs": (OUTPUTS, "lineitem"), "fx_feedback": (FEEDBACK, "events")}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -129,3 +129,15 @@ def lexical_best(rows: DataFrame, history: DataFrame) -> DataFrame:
     pairs = a.join(b, F.expr("a.t = b.t")).groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("other")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.expr("a.count * b.count")).alias("dot"), F.max(F.expr("a.size + b.size")).alias("sizes"), F.max(F.expr("a.norm * b.norm")).alias("norms"))
     sims = pairs.select("id", "other", ((F.col("c") / (F.col("sizes") - F.col("c")) + F.col("dot") / F.col("norms")) / 2).alias("sim"))
     return sims.groupBy("id").agg(F.max(F.struct(F.round("sim", 9).alias("sim"), (-F.col("other")).alias("o"))).alias("m")).select("id", F.col("m.sim").alias("sim"), (-F.col("m.o")).alias("best_id"))
+
+
+def tier_sample(df: DataFrame, n: int, shares: dict[str, float], seed: int = 7) -> DataFrame:
+    """``n`` rows without replacement: each tier's share by weighted random keys, what is missing from the rest by the same keys.
+
+    df: item_id, tier, weight. Keys are hashes, so reruns agree. A tier smaller than its share is taken whole.
+    """
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("item_id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    keyed = df.withColumn("_k", -F.log(u) / F.col("weight"))
+    quota = F.coalesce(*[F.when(F.col("tier") == t, int(n * s)) for t, s in shares.items()], F.lit(0))
+    inside = ranked(keyed, ["tier"], ["_k", "item_id"], "_i").where(F.col("_i") <= n).withColumn("_first", F.col("_i") <= quota)  # no tier gives more than n
+    return inside.orderBy(F.desc("_first"), "_k", "item_id").limit(n).drop("_k", "_i", "_first")

@@ -26,3 +26,14 @@ def test_rollup_equals_batch(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/feedback")
     drained(jobs.feedback_rollup(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/feedback")), "rollup", "complete")
     assert sorted(map(tuple, spark.table("rollup").collect())) == sorted(map(tuple, jobs.feedback_rollup(rows).collect())) == [(1, 2, 5), (2, 1, 7)]
+
+
+def test_stream_with_history(spark, tmp_path):
+    where = str(tmp_path)
+    for k, rows in enumerate([[(1, 1, "https://a.org/x"), (2, 2, "https://A.org/x/"), (3, 3, "https://b.org")], [(4, 4, "https://b.org/"), (5, 5, "https://c.org")]]):
+        spark.createDataFrame(rows, "item_id long, pos long, url string").coalesce(1).write.mode("append").parquet(f"{where}/items")
+        stream = spark.readStream.schema("item_id long, pos long, url string").parquet(f"{where}/items")
+        query = jobs.with_history(stream, f"{where}/history", f"{where}/check").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+    assert sorted(r.item_id for r in spark.read.parquet(f"{where}/history").collect()) == [1, 3, 5]

@@ -110,6 +110,8 @@ def cosine_best(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     rows and corpus: (id, v of doubles, of one dimension). Blocks of both meet in a task each, as matrix products.
     """
     parts = lambda df: max(1, -(-df.count() // BLOCK_ROWS))
+    own = [F.col(c).alias(c) for c in ("id", "v")]  # both sides may come of one table
+    rows, corpus = rows.select(*own), corpus.select(*own)
     n, m = parts(rows), parts(corpus)
     deal, every = (lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     x = rows.withColumn("x", deal(n)).withColumn("y", every(m)).groupBy("x", "y")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from winnowry.functions.text import url_key
+from winnowry.operators.triage import first_wins
 
 
 def ingested(items: DataFrame, hours: int = 48, ts: str = "published_at") -> DataFrame:
@@ -26,3 +28,20 @@ def period_funnel(events: DataFrame, kind: str = "event_type", ts: str = "ts", l
 def feedback_rollup(feedback: DataFrame) -> DataFrame:
     """Running totals of each output; for update mode."""
     return feedback.groupBy("output_id").agg(F.count(F.lit(1)).alias("n"), F.sum("likes").alias("likes"))
+
+
+def with_history(items: DataFrame, history: str, checkpoint: str) -> DataStreamWriter:
+    """Writes each micro-batch's items of addresses that no earlier batch had, first of each, to the history.
+
+    A batch has a folder of its own and reads those before it, so a batch that is run again gives the same rows.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keyed = first_wins(batch.withColumn("url_key", url_key("url")), F.col("url_key"))
+        if number:
+            past = spark.read.option("basePath", history).schema("url_key string, batch long").parquet(history).where(F.col("batch") < number)
+            keyed = keyed.join(past.select("url_key"), "url_key", "left_anti")
+        keyed.write.mode("overwrite").parquet(f"{history}/batch={number}")
+
+    return items.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)

@@ -1,10 +1,9 @@
 """Connected groups from buckets of candidates, without all pairs of a bucket.
 
 First every member of a bucket is compared with three members of it, one of them that which
-meets most others in all its buckets: of edited copies of a text it is the one nearest to all. Members of
-buckets that this leaves in several groups are compared with ``HUBS`` more members of other groups. What is
-apart even then is compared in full, but only across different groups, so that a bucket of
-one large group costs some comparisons a member. A bucket whose members are all near each other by their
+meets most others in all its buckets: of edited copies of a text it is the one nearest to all. What that
+leaves apart is compared in full, but only across different groups, so that a bucket of
+one large group costs a comparison a member. A bucket whose members are all near each other by their
 signatures, but few of them linked, costs all its pairs: they are compared, none is left out.
 """
 
@@ -12,15 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnowry.llm.staging import staged
 
 #: Members from which on a bucket of few groups is joined group by group.
 LARGE = 500
-#: Members of a bucket of several groups that all others are compared with before groups are compared in full.
-HUBS = 32
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -71,15 +68,6 @@ def link(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], Dat
     mixed = apart(shared, groups)
     if mixed.isEmpty():
         return groups
-    place = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
-    more = mixed.select("bucket", F.col("id").alias("hub"), F.col("component").alias("own"), F.row_number().over(place).alias("rank")).where(F.col("rank") <= HUBS)
-    spokes = mixed.join(more, "bucket").where("component <> own").select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
-    second = staged(verify(starred(spokes, nodes, near)), "links")
-    links = first.union(second)
-    if not second.isEmpty():
-        groups = components(links)
-        mixed = apart(shared, groups)
-
     stats = mixed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"))
     stats = staged(stats.withColumn("large", (F.col("n") > LARGE) & (F.col("groups") * 8 < F.col("n"))).select("bucket", "large"), "mixed")
     met = mixed.groupBy("id").agg(F.collect_list("bucket").alias("met"))
@@ -94,7 +82,7 @@ def link(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], Dat
         left = crossed.join(big.alias("x"), F.expr("c.bucket = x.bucket and c.p = x.component"))
         pairs = left.join(big.alias("y"), F.expr("c.bucket = y.bucket and c.q = y.component") & near("x", "y") & once)
         across = across.union(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
-    third = staged(verify(across.distinct()), "links")
-    if third.isEmpty():
+    second = staged(verify(across.distinct()), "links")
+    if second.isEmpty():
         return groups
-    return components(links.union(third))
+    return components(first.union(second))

@@ -18,6 +18,8 @@ from winnowry.llm.staging import staged
 
 #: Members from which on a bucket of few groups is joined group by group.
 LARGE = 500
+#: Members of several groups up to which a bucket is joined with itself where there is a comparison in blocks.
+FEW = 48
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,13 +49,14 @@ def apart(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return staged(placed.join(mixed, "bucket"), "mixed")
 
 
-def link(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column]) -> DataFrame:
+def link(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of all ids that are linked with another.
 
     members: (bucket, id); nodes: id and what ``near(x, y)`` reads of the rows under the aliases x
     and y to tell whether they may be linked; verify: keeps the true links of pairs (a, b). Every
     pair that shares a bucket, is near and verified ends in one group. Buckets of the same
-    members count once.
+    members count once. blocks: if given, compares buckets of more than ``FEW`` members of several groups: the links (a, b)
+    among rows (bucket, id, component, met and what ``near`` reads); a pair counts in the least bucket that the two ``met`` share.
     """
     own, other = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor(own).alias("h1"), F.bit_xor(other).alias("h2")).where("n > 1")
@@ -69,13 +72,16 @@ def link(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], Dat
     if mixed.isEmpty():
         return groups
     stats = mixed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"))
-    stats = staged(stats.withColumn("large", (F.col("n") > LARGE) & (F.col("groups") * 8 < F.col("n"))).select("bucket", "large"), "mixed")
+    stats = staged(stats.withColumn("large", F.col("n") > FEW if blocks else (F.col("n") > LARGE) & (F.col("groups") * 8 < F.col("n"))).select("bucket", "large"), "mixed")
     met = mixed.groupBy("id").agg(F.collect_list("bucket").alias("met"))
     mixed = mixed.join(stats, "bucket").join(met, "id").join(nodes, "id")
     once = F.expr("array_min(array_intersect(x.met, y.met)) = x.bucket")  # a pair counts in one of the buckets it shares
     few = mixed.where("not large")
     across = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket and x.id < y.id and x.component <> y.component") & near("x", "y") & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    if not stats.where("large").isEmpty():
+    found = first
+    if blocks:
+        found = found.union(blocks(mixed.where("large")))
+    elif not stats.where("large").isEmpty():
         big = mixed.where("large")
         tags = big.select("bucket", "component").distinct()
         crossed = tags.alias("p").join(tags.alias("q"), F.expr("p.bucket = q.bucket and p.component < q.component")).select("p.bucket", F.col("p.component").alias("p"), F.col("q.component").alias("q")).alias("c")
@@ -83,6 +89,6 @@ def link(members: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], Dat
         pairs = left.join(big.alias("y"), F.expr("c.bucket = y.bucket and c.q = y.component") & near("x", "y") & once)
         across = across.union(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
     second = staged(verify(across.distinct()), "links")
-    if second.isEmpty():
+    if second.isEmpty() and not blocks:
         return groups
-    return components(first.union(second))
+    return components(found.union(second))

@@ -4,10 +4,12 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from winnowry.llm import decontaminate, licenses, linededup, lm, minhash, mixing, quality, suffix, topk
+from winnowry.llm import decontaminate, licenses, linededup, linking, lm, minhash, mixing, quality, suffix, topk
+from winnowry.llm.edits import distances
 
 THUE = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
 TWIN = THUE.translate({97: "b", 98: "a"})
@@ -70,15 +72,54 @@ def test_edit_similarity(spark, whole, monkeypatch):
     assert got <= want and (whole == 5 or got == want - same)
 
 
-@pytest.mark.parametrize("n", [8, 15, 30])
-def test_fuzzy_lines_by_brute_force(spark, n):
-    """Groups of the pairs that reach the edit similarity; each changed line goes as the first of its group is another."""
+@pytest.mark.parametrize("part", [1 << 17, 20])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(linking, "PART", part)
+    pick = random.Random(part)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(pick.randrange(200, 260), pick.randrange(200, 260)) for _ in range(40)]
+    first = {x: x for edge in edges for x in edge}
+    for _ in first:
+        for a, b in edges:
+            first[a] = first[b] = min(first[a], first[b])
+    got = {r.id: r.component for r in linking.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {x: f for x, f in first.items() if any(x in e and e[0] != e[1] for e in edges)}
+    assert linking.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("caps", ["small", "large"])
+def test_edit_distances(caps):
+    pick = random.Random(caps)
+    xs, ys = [], []
+    for _ in range(400):
+        some = pick.choice(["ab", "abcdefgh", "a\u00e9\U0001f600x", "".join(chr(300 + i) for i in range(400))])
+        a = [pick.choice(some) for _ in range(pick.randint(0, 60))]
+        b = list(a)
+        for _ in range(pick.randint(0, 12)):
+            i = pick.randint(0, len(b))
+            b[i : i + pick.randint(0, 1)] = [pick.choice(some)] * pick.randint(0, 2)
+        xs.append("".join(a))
+        ys.append("".join(b))
+    most = np.array([pick.randint(0, 20) if caps == "small" else 10**6 for _ in xs])
+    assert list(distances(xs, ys, most)) == [min(edits(x, y), min(c, max(len(x), len(y))) + 1) for x, y, c in zip(xs, ys, most, strict=True)]
+
+
+@pytest.mark.parametrize("n", [8, 15, -15, 30])
+def test_fuzzy_lines_by_brute_force(spark, monkeypatch, n):
+    """Groups of the pairs that reach the edit similarity; each changed line goes as the first of its group is another.
+
+    Below 0 the lines share their ends, and buckets of more than three are compared in small blocks under several keys.
+    """
+    ends = ["some", "words", "which", "all", "lines", "begin", "and", "end", "with"] if n < 0 else []
+    if ends:
+        for of, name, value in ((linking, "FEW", 3), (linededup, "BLOCK", 7), (linededup, "SPREAD", 2)):
+            monkeypatch.setattr(of, name, value)
+        n = -n
     pick = random.Random(n)
     some = ["".join(pick.choice("abcdefghij") for _ in range(pick.randint(3, 8))) for _ in range(500)]
     lines = []
     for _ in range(40):
-        words = [pick.choice(some) for _ in range(n)]
-        i = pick.randrange(n)
+        words = ends + [pick.choice(some) for _ in range(n)]
+        i = pick.randrange(len(ends), len(ends) + n)
         lines += [words, [*words[:i], words[i][:-1] + pick.choice("xyz"), *words[i + 1 :]], words[:-1] + ["end"]]
     lines = [" ".join(w) for w in lines]
     first = list(range(len(lines)))
@@ -92,6 +133,26 @@ def test_fuzzy_lines_by_brute_force(spark, n):
     assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.95 * sum(want.values()) > 30
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """All links between different groups, each found once, whichever of the buckets two lines share."""
+    monkeypatch.setattr(linededup, "BLOCK", 7)
+    monkeypatch.setattr(linededup, "SPREAD", 2)
+    pick = random.Random(5)
+    base, lines = [pick.choice("abcdefgh") * pick.randint(2, 7) for _ in range(12)], []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(pick.randint(0, 3)):
+            words[pick.randrange(12)] = pick.choice("ijk") * pick.randint(1, 4)
+        lines.append(" ".join(words))
+    met = [sorted(pick.sample([10, 20, 30], pick.randint(1, 3))) for _ in lines]
+    rows = [(b, i, i % 50, len(x), 0, met[i]) for i, x in enumerate(lines) for b in met[i]]
+    big = spark.createDataFrame(rows, "bucket long, id long, component long, size int, sim long, met array<long>")
+    got = linededup.in_blocks(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))(big).collect()
+    most = lambda i, j: int(0.1 * max(len(lines[i]), len(lines[j])) + 1e-9)
+    want = [(i, j) for j in range(60) for i in range(j) if i % 50 != j % 50 and set(met[i]) & set(met[j]) and edits(lines[i], lines[j]) <= most(i, j)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
+
+
 def test_huge_components(spark):
     rows = [(0, [1e20, 1.0]), (50, [1.0, 2.0]), (1, [1e20, 1.0]), (2, [-1e20, 0.0]), (3, [2.0, 2.0])]
     df = spark.createDataFrame(rows, "id long, vector array<double>")

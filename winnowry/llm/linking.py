@@ -9,8 +9,9 @@ signatures, but few of them linked, costs all its pairs: they are compared, none
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +19,45 @@ from winnowry.llm.staging import staged
 
 #: Members from which on a bucket of few groups is joined group by group.
 LARGE = 500
+#: Edges that a task joins up: a few tens of MB of Python.
+PART = 1 << 17
 #: Members of several groups up to which a bucket is joined with itself where there is a comparison in blocks.
 FEW = 48
 
 
+def forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: of the edges (a, b) of a task, (id, root) of each end, the root being the smallest id that they reach."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], ["id", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of all ends of the edges (a, b): the smallest id reachable. Rounds grow with the logarithm of a group's breadth."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    """(id, component) of all ends of the edges (a, b): the smallest id reachable.
+
+    Parts of at most about ``PART`` edges are first joined up inside tasks, which leaves a star for each group of
+    a part. Where there are several parts the stars meet in rounds, whose number grows with the logarithm of a group's breadth in stars.
+    """
+    edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    parts = -(-edges.count() // PART)
+    stars = staged(edges.coalesce(max(parts, 1)).mapInArrow(forest, "id long, root long"), "stars")
+    if parts <= 1:
+        return stars.withColumnRenamed("root", "component")
+    stars = stars.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b")
+    both = staged(stars.union(stars.select("b", "a")).distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))

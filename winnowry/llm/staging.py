@@ -19,11 +19,13 @@ ARROW_ROWS = 1000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for staged tables. Where none is set, a local one is made in local mode; on a cluster that is an error."""
-    if not (where := spark.conf.get("spark.checkpoint.dir", None)):
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="winnowry-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="winnowry-"))  # the conf itself can't be set in a running session
+        where = context.getCheckpointDir()
     return where
 
 

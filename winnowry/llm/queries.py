@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from winnowry.llm import audit, decontaminate, licenses, linededup, lm, minhash, mixing, quality, secrets, suffix, topk
+from winnowry.llm import audit, codes, decontaminate, licenses, linededup, lm, minhash, mixing, quality, secrets, suffix, topk
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_minhash": minhash.op10_minhash,
     "op11_filter_audit": audit.op11_filter_audit,
+    "op12_vector_codes": codes.op12_vector_codes,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
     "op3_topk": topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op11_filter_audit": audit.ORACLE,
+    "op12_vector_codes": codes.ORACLE,
 }

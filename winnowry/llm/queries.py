@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from winnowry.llm import audit, codes, decontaminate, licenses, linededup, lm, minhash, mixing, quality, secrets, suffix, topk
+from winnowry.llm import audit, codes, decontaminate, language, licenses, linededup, lm, minhash, mixing, quality, secrets, suffix, topk
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_minhash": minhash.op10_minhash,
     "op11_filter_audit": audit.op11_filter_audit,
     "op12_vector_codes": codes.op12_vector_codes,
+    "op13_language": language.op13_language,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,

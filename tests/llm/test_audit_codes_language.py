@@ -65,7 +65,7 @@ def test_audit(spark):
     rows = audit.counted(docs, spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int"))
     assert sum(r.n for r in rows.collect()) == len(DOCS)
     got = {(r.part, r.filter_order, r.step): [r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley] for r in audit.audit(rows, audit.failing_ids(rows)).collect()}
-    assert got == audited(DOCS, LABELS) and len({k[0] for k in got}) == 5
+    assert got == audited(DOCS, LABELS) and len({k[0] for k in got}) == 6
     none = audit.counted(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert audit.audit(none, audit.failing_ids(none)).count() == 0
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from winnowry.operators import elements, gates, landed, triage
+from winnowry.operators import elements, gates, pages, triage
 
 
 def one(spark, text, column):
@@ -49,8 +49,8 @@ def test_slides_and_captions(spark):
 
 def test_page_text(spark):
     long = "word " * 120
-    pages = [(1, f"<nav>no</nav><article><p>{long}</p></article>"), (2, f"<article>short</article><main>{long}</main>"), (3, "<p>" + "p" * 60 + "</p><p>tiny</p>"), (4, '<meta name="description" content="told">'), (5, ""), (6, None)]
-    got = {r.page_id: r.body for r in landed.page_text(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    rows = [(1, f"<nav>no</nav><article><p>{long}</p></article>"), (2, f"<article>short</article><main>{long}</main>"), (3, "<p>" + "p" * 60 + "</p><p>tiny</p>"), (4, '<meta name="description" content="told">'), (5, ""), (6, None)]
+    got = {r.page_id: r.body for r in pages.page_text(spark.createDataFrame(rows, "page_id long, html string")).collect()}
     assert (got[1], got[2], got[3], got[4], got[5], got[6]) == (long.strip(), long.strip(), "p" * 60, "told", "", None)
 
 

@@ -1,17 +1,14 @@
-"""Parsers of landed payloads and pages: columns and DataFrames in, item rows out. No DOM: the structure is read by patterns."""
+"""Parsers of landed payloads: columns and DataFrames in, item rows out. Pages are read by ``pages``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnowry.functions import rules
-from winnowry.operators.elements import without_boilerplate, without_tags
 
 FEED = "link string, title string, summary string, description string, published string, pubDate string, author array<string>, category array<string>"
 #: Formats of dates in order; a weekday before the date is cut off.
 DATES = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "dd MMM yyyy HH:mm:ss Z", "dd MMM yyyy HH:mm:ss z", "yyyy-MM-dd")
-ANCHOR = r'(?is)<a\b[^>]*href="[^"]*"[^>]*>.*?</a>'
 
 
 def instant(text: Column) -> Column:
@@ -29,15 +26,6 @@ def feed_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return e.select(*[c for c in payloads.columns if c != payload], F.col("e.link").alias("url"), F.trim("e.title").alias("title"), summary.alias("summary"), date.alias("published_at"), F.coalesce("e.author", F.array()).alias("authors"), F.coalesce("e.category", F.array()).alias("categories"))
 
 
-def listed_links(pages: DataFrame, prefix: str, wanted: Column | None = None) -> DataFrame:
-    """(page_id, pos, url, title, published_at): a page's anchors with a text, relative ones below the prefix, those that ``wanted`` takes."""
-    each = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("pos", "a"))
-    href, date = F.regexp_extract("a", r'(?is)href="([^"]*)"', 1), F.regexp_extract("a", r'(?is)datetime="([^"]*)"', 1)
-    url = F.when(href.startswith("/"), F.concat(F.lit(prefix), href)).otherwise(href)
-    found = each.select("page_id", "pos", url.alias("url"), without_tags(F.col("a")).alias("title"), instant(date).alias("published_at")).where("title <> '' and url <> ''")
-    return found if wanted is None else found.where(wanted)
-
-
 def summaries(payloads: DataFrame, base: str, payload: str = "payload") -> DataFrame:
     """Rows of landed article summaries, keyed by id: title without its last dot, address from the id, parts joined."""
     read = F.from_json(payload, "result map<string, struct<title: string, pubdate: string, source: string>>")
@@ -54,25 +42,3 @@ def article(xml: str = "payload") -> dict[str, Column]:
     named = F.filter(F.slice(a["AuthorList"]["Author"], 1, 5), lambda x: x["LastName"].isNotNull())
     doi = F.get(F.filter(a["ArticleIdList"]["ArticleId"], lambda x: x["_IdType"] == "doi"), F.lit(0))
     return {"abstract": a["Abstract"]["AbstractText"], "journal": a["Journal"]["Title"], "authors": F.array_join(F.transform(named, lambda x: F.concat_ws(" ", x["ForeName"], x["LastName"])), "; "), "doi": doi["_VALUE"]}
-
-
-def page_text(pages: DataFrame, html: str = "html", least: int = 500, most: int = 5000) -> DataFrame:
-    """Adds body: the article element, else the first container of ``least`` characters, else paragraphs of fifty, else the meta description."""
-    own = pages.columns
-    h = F.col(html)
-    for tag in rules.NOT_CONTENT:
-        h = F.regexp_replace(h, rf"(?is)<{tag}\b.*?</{tag}>", " ")
-    stripped = pages.withColumn("_h", h)
-    inner = [F.regexp_extract("_h", "(?is)" + p, 1) for p in (r"<article\b[^>]*>(.*?)</article>", *rules.CONTAINERS)]
-    texts = stripped.select(*own, "_h", F.array(*[without_boilerplate(without_tags(x)) for x in inner]).alias("_found"))
-    paragraphs = F.filter(F.transform(F.regexp_extract_all("_h", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), without_tags), lambda p: F.length(p) >= 50)
-    meta = F.regexp_extract(html, r'(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"', 1)
-    long = F.get(F.filter("_found", lambda t: F.length(t) >= least), F.lit(0))
-    return texts.select(*own, F.left(F.coalesce(long, F.nullif(F.array_join(paragraphs, " "), F.lit("")), meta), F.lit(most)).alias("body"))
-
-
-def preprint_abstract(html: str, summary: str, patterns: list[str]) -> Column:
-    """The summary from 400 characters on; else the first place that has 200; else the last that is found at all, or the summary."""
-    found = F.filter(F.array(*[without_tags(F.regexp_extract(html, p, 1)) for p in patterns]), lambda t: t != "")
-    long = F.get(F.filter(found, lambda t: F.length(t) >= 200), F.lit(0))
-    return F.when(F.length(summary) >= 400, F.col(summary)).otherwise(F.coalesce(long, F.get(F.reverse(found), F.lit(0)), summary))

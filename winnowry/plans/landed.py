@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from winnowry.functions import rules
-from winnowry.operators import landed, triage
+from winnowry.functions.text import url_key
+from winnowry.operators import landed, pages, triage
+from winnowry.operators.elements import without_boilerplate, without_tags
 from winnowry.plans.columns import quoted
 from winnowry.plans.queries import query
 
@@ -33,20 +35,22 @@ def sql_plain(col: str) -> str:
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-LINKS = f"""with a as (select page_id, unnest(regexp_extract_all(html, {quoted(landed.ANCHOR)})) as a, generate_subscripts(regexp_extract_all(html, {quoted(landed.ANCHOR)}), 1) - 1 as pos from pages),
+ANCHOR = r'(?is)<a\b[^>]*href="[^"]*"[^>]*>.*?</a>'
+SITE = pages.Listing(articles="a", prefix="https://site.org", date="time")
+LINKS = f"""with a as (select page_id, unnest(regexp_extract_all(html, {quoted(ANCHOR)})) as a, generate_subscripts(regexp_extract_all(html, {quoted(ANCHOR)}), 1) - 1 as pos from pages),
 l as (select page_id, pos, regexp_extract(a, '(?is)href="([^"]*)"', 1) as href, {sql_plain('a')} as title from a)
 select page_id, pos::int as pos, case when starts_with(href, '/') then 'https://site.org' || href else href end as url, title from l where title <> '' and href <> ''"""
 
 
 @query("s03_listed_links", LINKS)
 def _(spark, d):
-    return landed.listed_links(spark.read.parquet(f"{d}/pages.parquet"), "https://site.org").select("page_id", "pos", "url", "title")
+    return pages.listed(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html"), SITE, landed.instant).select("page_id", "pos", "url", "title")
 
 
 @query("s04_listing_dates", "select item_id, case when item_id % 3 = 0 then null else date_trunc('day', published_at) end as published_at from fx_items", ("fx_items",))
 def _(spark, d, items):
     html = items.select(F.col("item_id").alias("page_id"), F.expr("concat('<a href=\"/x\"><time datetime=\"', case when item_id % 3 = 0 then 'soon' else coalesce(date_format(published_at, 'yyyy-MM-dd'), '') end, '\">t</time> read</a>')").alias("html"))
-    return landed.listed_links(html, "https://site.org").select(F.col("page_id").alias("item_id"), "published_at")
+    return pages.listed(html, SITE, landed.instant).select(F.col("page_id").alias("item_id"), "published_at")
 
 
 @query("s05_summaries", "select cast(item_id as varchar) as id, 'https://papers.org/' || item_id || '/' as url, title, source_name || case when published_at is null then '' else ' | ' || strftime(published_at, '%Y-%m-%d') end as summary from fx_items", ("fx_items",))
@@ -196,6 +200,8 @@ def _(spark, d, items):
     return triage.tier_sample(items.join(F.broadcast(sources(items).select("source_name", "tier", "weight")), "source_name"), 100, {"A": 0.65, "B": 0.25, "C": 0.10}).select("item_id", "tier")
 
 
+#: The places of the text as patterns; they read pages whose containers hold no others of their kind, as those of the test tables.
+CONTAINERS = [rf'<div[^>]*class="[^"]*{c}[^"]*"[^>]*>(.*?)</div>' for c in ("article-body", "article-content", "story-body", "post-content", "entry-content")] + [r'<div[^>]*itemprop="articleBody"[^>]*>(.*?)</div>', r'<div[^>]*class="(?:[^"]* )?content(?: [^"]*)?"[^>]*>(.*?)</div>', r"<main\b[^>]*>(.*?)</main>"]
 DROPPED = reduce(lambda c, tag: f"regexp_replace({c}, '(?is)<{tag}\\b.*?</{tag}>', ' ', 'g')", rules.NOT_CONTENT, "html")
 
 
@@ -206,14 +212,16 @@ def sql_text(pattern: str) -> str:
     return f"trim({out})"
 
 
-PAGE_TEXT = f"""with s as (select page_id, html, {DROPPED} as h from pages), t as (select page_id, html, h, [{', '.join(sql_text(p) for p in (r'<article\b[^>]*>(.*?)</article>', *rules.CONTAINERS))}] as found from s),
-p as (select page_id, html, list_filter(found, lambda x: length(x) >= 500)[1] as long, array_to_string(list_filter(list_transform(regexp_extract_all(h, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {sql_plain('x')}), lambda x: length(x) >= 50), ' ') as paragraphs from t),
+#: A paragraph ends where it is closed, or its article is, or the page.
+PARAGRAPH = "regexp_extract(x, '(?is)^(.*?)(?:</p>|</article>|</main>|</div>|</body>|$)', 1)"
+PAGE_TEXT = f"""with s as (select page_id, html, {DROPPED} as h from pages), t as (select page_id, html, h, [{', '.join(sql_text(p) for p in (r'<article\b[^>]*>(.*?)</article>', *CONTAINERS))}] as found from s),
+p as (select page_id, html, list_filter(found, lambda x: length(x) >= 500)[1] as long, array_to_string(list_filter(list_transform(string_split_regex(h, '(?i)<p\\b[^>]*>')[2:], lambda x: {sql_plain(PARAGRAPH)}), lambda x: length(x) >= 50), ' ') as paragraphs from t),
 texts as (select page_id, left(coalesce(long, nullif(paragraphs, ''), regexp_extract(html, '(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"', 1)), 5000) as body from p)"""
 
 
 @query("p10_page_text", PAGE_TEXT + " select page_id, body from texts")
 def _(spark, d):
-    return landed.page_text(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "body")
+    return pages.page_text(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")).select("page_id", "body")
 
 
 NOISY = "title || '. Share this article with friends. Read more: here. ' || body_text || ' Advertisement. Sign up for news'"
@@ -228,26 +236,41 @@ def sql_clean(col: str) -> str:
 
 @query("p11_clean_text", f"select item_id, {sql_clean(NOISY)} as body from fx_items", ("fx_items",))
 def _(spark, d, items):
-    return items.select("item_id", landed.without_boilerplate(landed.without_tags(F.expr(NOISY))).alias("body"))
+    return items.select("item_id", without_boilerplate(without_tags(F.expr(NOISY))).alias("body"))
 
 
-PLACES = [r"(?is)<article\b[^>]*>(.*?)</article>", r"(?is)<p\b[^>]*>(.*?)</p>", r"(?is)<title\b[^>]*>(.*?)</title>"]
+PLACES = {"article": r"(?is)<article\b[^>]*>(.*?)</article>", "p": r"(?is)<p\b[^>]*>(.*?)</p>", "title": r"(?is)<title\b[^>]*>(.*?)</title>"}
+SUMMARY = "case when page_id % 3 = 0 then repeat('summary ', 60) else 'short summary' end"
 
 
-@query("p12_preprint_text", f"""with f as (select page_id, case when page_id % 3 = 0 then repeat('summary ', 60) else 'short summary' end as summary, list_filter([{', '.join(sql_plain(f'regexp_extract(html, {quoted(p)}, 1)') for p in PLACES)}], lambda x: x <> '') as found from pages)
+@query("p12_preprint_text", f"""with f as (select page_id, {SUMMARY} as summary, list_filter([{', '.join(sql_plain(f'regexp_extract(html, {quoted(p)}, 1)') for p in PLACES.values())}], lambda x: x <> '') as found from pages)
 select page_id, case when length(summary) >= 400 then summary else coalesce(list_filter(found, lambda x: length(x) >= 200)[1], found[-1], summary) end as body from f""")
 def _(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet").withColumn("summary", F.expr("case when page_id % 3 = 0 then repeat('summary ', 60) else 'short summary' end"))
-    return pages.select("page_id", landed.preprint_abstract("html", "summary", PLACES).alias("body"))
+    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html", F.expr(SUMMARY).alias("summary"))
+    return pages.preprint_text(rows, places=tuple(PLACES)).select("page_id", pages.collapsed(F.col("body")).alias("body"))
 
 
 @query("p13_without_tags", f"select page_id, {sql_plain('html')} as plain from pages")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", landed.without_tags(F.col("html")).alias("plain"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", without_tags(F.col("html")).alias("plain"))
 
 
-@query("p14_body_fallback", PAGE_TEXT + ", i as (select doc_id, text, doc_id % 3 as page_id from documents) select doc_id, coalesce(case when length(t.body) >= 1000 then t.body end, left(i.text, 300), '') as body from i left join texts t using (page_id)")
+P14 = PAGE_TEXT + """, i as (select doc_id, regexp_replace(lower(trim(coalesce(url, 'https://none.example/' || doc_id))), '/+$', '') as url_key, left(text, 300) as summary, case doc_id % 4 when 0 then 'paper' else 'news' end as content_type from documents left join pages on page_id = doc_id),
+arrived as (select regexp_replace(lower(trim(url)), '/+$', '') as url_key, arg_min(case when page_id % 7 <> 0 then body end, page_id) filter (page_id % 7 <> 0) as body from texts join pages using (page_id) group by 1), j as (select doc_id, content_type, arrived.body is null as failed, coalesce(arrived.body, summary, '') as body from i left join arrived using (url_key)),
+k as (select *, length(body) >= case content_type when 'paper' then 600 else 1200 end as enough from j)"""
+OUTCOME = "case when failed then 'failed' when enough then 'success' else 'insufficient' end"
+
+
+def fetched(spark, d):
+    """Documents as items at the addresses of the pages of their ids, with the texts of the pages that came: all but a seventh."""
+    landed_pages = spark.read.parquet(f"{d}/pages.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.left("text", F.lit(300)).alias("summary"), F.when(F.col("doc_id") % 4 == 0, "paper").otherwise("news").alias("content_type"))
+    url = F.coalesce("url", F.concat(F.lit("https://none.example/"), "doc_id"))
+    items = docs.join(landed_pages.select("page_id", "url"), F.col("doc_id") == F.col("page_id"), "left").withColumn("url", url).withColumn("url_key", url_key("url"))
+    bodies = pages.page_text(landed_pages.where("page_id % 7 <> 0")).withColumn("url_key", url_key("url")).groupBy("url_key").agg(F.min_by("body", "page_id").alias("body"))
+    return pages.body_or_summary(items, bodies)
+
+
+@query("p14_body_fallback", P14 + f" select doc_id, body, {OUTCOME} as outcome from k")
 def _(spark, d):
-    bodies = landed.page_text(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "body")
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 3).alias("page_id"))
-    return docs.join(bodies, "page_id", "left").select("doc_id", F.coalesce(F.when(F.length("body") >= 1000, F.col("body")), F.left("text", F.lit(300)), F.lit("")).alias("body"))
+    return fetched(spark, d).select("doc_id", "body", "outcome")

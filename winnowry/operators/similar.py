@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnowry.operators.triage import BLOCK_ROWS, cosine_best, lexical_best
-
+from winnowry.operators.lexical import lexical_best
+from winnowry.operators.triage import BLOCK_ROWS, cosine_best
+from winnowry.sources.tables import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder and read back; one is made only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="winnowry-"))
-    return df.checkpoint()
+#: Edges of a walk that a task settles.
+SETTLE = 1 << 18
 
 
 def _unit(table: pa.Table):
@@ -47,24 +42,52 @@ def earlier_pairs(rows: DataFrame, least: float) -> DataFrame:
     return x.groupBy("x", "y").cogroup(y.groupBy("x", "y")).applyInArrow(meet, "a long, b long, sim double")
 
 
+def _walk(batches):
+    """Fates of rows from their edges (a, b, kept: a is known to be kept), which come in order of b and then a; rows that wait for other tasks have none."""
+    fate: dict[int, bool] = {}
+    now, dropped, open_ = None, False, False
+    ids, kept = [], []
+
+    def close():
+        if now is not None and (dropped or not open_):
+            fate[now] = not dropped
+            ids.append(now)
+            kept.append(not dropped)
+
+    for batch in batches:
+        for a, b, sure in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("kept").to_pylist(), strict=True):
+            if b != now:
+                close()
+                now, dropped, open_ = b, False, False
+            before = True if sure else fate.get(a)
+            dropped, open_ = dropped or before is True, open_ or before is None
+        if len(ids) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.bool_())], ["id", "kept"])
+            ids, kept = [], []
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.bool_())], ["id", "kept"])
+
+
 def first_kept(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(id): the rows that a walk in the order of ids keeps, where a kept row drops its later neighbours. edges: (a, b), a before b.
 
-    Each round keeps the rows without an undecided earlier neighbour and drops their neighbours; rounds
-    are as many as the longest chain of such decisions.
+    Each round cuts the open edges into ranges of b of about ``SETTLE`` edges. A task walks its range in order and decides each row whose
+    earlier neighbours are decided there or have no open earlier neighbour themselves. So a chain of decisions takes a round for each range that it crosses, not
+    for each link, and what fits one range is settled in one round. A task holds a bit for each row of its range; a row's edges pass by one at a time.
     """
-    edges, kept, left = cut(edges.select("a", "b")), [], ids.select("id")
-    while not edges.isEmpty():
-        waits = edges.select(F.col("b").alias("id")).distinct()
-        clear = cut(left.join(waits, "id", "left_anti"))
-        gone = cut(edges.join(clear.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
-        kept.append(clear)
-        left = cut(left.join(clear, "id", "left_anti").join(gone, "id", "left_anti"))
-        open_ = edges.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
-        edges = cut(open_)
-    for part in kept:
-        left = left.union(part)
-    return left
+    edges, gone = cut(edges.select("a", "b").distinct(), "edges"), []
+    while n := edges.count():
+        waits = edges.select(F.col("b").alias("a")).distinct().withColumn("waits", F.lit(True))
+        flagged = edges.join(waits, "a", "left").select("a", "b", F.col("waits").isNull().alias("kept"))
+        ranges = flagged.repartitionByRange(max(1, -(-n // SETTLE)), "b").sortWithinPartitions("b", "a")
+        fates = cut(ranges.mapInArrow(_walk, "id long, kept boolean"), "fates")
+        out = fates.where("not kept").select("id")
+        gone.append(out)
+        left = edges.join(fates.select(F.col("id").alias("b")), "b", "left_anti").join(out.withColumnRenamed("id", "a"), "a", "left_anti")
+        edges = cut(left.select("a", "b"), "edges")
+    for out in gone:
+        ids = ids.join(out, "id", "left_anti")
+    return ids.select("id")
 
 
 def without_near(rows: DataFrame, history: DataFrame, threshold: float) -> DataFrame:
@@ -74,7 +97,7 @@ def without_near(rows: DataFrame, history: DataFrame, threshold: float) -> DataF
     """
     ids, known = rows.select("id"), rows.where("v is not null")
     best = cosine_best(known, history.where("v is not null")).select("id", F.col("sim").alias("history_sim"))
-    scored = cut(ids.join(best, "id", "left"))
+    scored = cut(ids.join(best, "id", "left"), "scored")
     free = scored.where(F.coalesce(F.col("history_sim") < threshold, F.lit(True))).select("id")
     edges = earlier_pairs(known.join(free, "id"), threshold)
     return first_kept(free, edges).join(scored, "id")
@@ -82,9 +105,9 @@ def without_near(rows: DataFrame, history: DataFrame, threshold: float) -> DataF
 
 def novelty(rows: DataFrame, history: DataFrame, threshold: float) -> DataFrame:
     """(id, novel, sim) of all rows (id, v): sim is the best of the history and of the rows kept before; 0 without either."""
-    kept = without_near(rows, history, threshold).select("id")
+    kept = cut(without_near(rows, history, threshold), "kept").select("id")
     known = rows.where("v is not null")
-    before = earlier_pairs(known, -1.0).join(kept.withColumnRenamed("id", "a"), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.max("sim").alias("earlier"))
+    before = cosine_best(known, known.join(kept, "id", "left_semi"), earlier=True).select("id", F.col("sim").alias("earlier"))
     past = cosine_best(known, history.where("v is not null")).select("id", F.col("sim").alias("past"))
     sim = F.coalesce(F.greatest("earlier", "past"), F.lit(0.0))
     return rows.select("id").join(before, "id", "left").join(past, "id", "left").join(kept.withColumn("novel", F.lit(True)), "id", "left").select("id", F.coalesce("novel", F.lit(False)).alias("novel"), sim.alias("sim"))

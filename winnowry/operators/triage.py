@@ -85,29 +85,36 @@ def interleaved(df: DataFrame, most: int, study_cap: int = 2, other_cap: int = 2
 BLOCK_ROWS = 4096
 
 
-def _best_of_blocks(key, rows, corpus):
-    import numpy as np
-    import pyarrow as pa
+def _best_of_blocks(earlier: bool):
+    def run(key, rows, corpus):
+        import numpy as np
+        import pyarrow as pa
 
-    names = ["id", "sim", "other"]
-    if not rows.num_rows or not corpus.num_rows:
-        return pa.table({"id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64()), "other": pa.array([], pa.int64())})
+        if not rows.num_rows or not corpus.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64()), "other": pa.array([], pa.int64())})
 
-    def unit(t):
-        m = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        n = np.sqrt((m * m).sum(1, keepdims=True))
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+        def unit(t):
+            m = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            n = np.sqrt((m * m).sum(1, keepdims=True))
+            return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-    corpus = corpus.sort_by("id")
-    sims = np.round(unit(rows) @ unit(corpus).T, 9)
-    at = sims.argmax(1)
-    return pa.table([rows.column("id"), pa.array(sims[np.arange(len(at)), at]), corpus.column("id").take(pa.array(at))], names=names)
+        corpus = corpus.sort_by("id")
+        sims = np.round(unit(rows) @ unit(corpus).T, 9)
+        ids = rows.column("id").to_numpy()
+        if earlier:
+            sims[corpus.column("id").to_numpy()[None, :] >= ids[:, None]] = -np.inf
+        at = sims.argmax(1)
+        best = sims[np.arange(len(at)), at]
+        met = np.flatnonzero(best > -np.inf)
+        return pa.table({"id": ids[met], "sim": best[met], "other": corpus.column("id").to_numpy()[at[met]]})
 
+    return run
 
-def cosine_best(rows: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Each row's most similar corpus vector, to nine places; zero norms give 0; the smallest id of ties wins.
 
-    rows and corpus: (id, v of doubles, of one dimension). Blocks of both meet in a task each, as matrix products.
+def cosine_best(rows: DataFrame, corpus: DataFrame, earlier: bool = False) -> DataFrame:
+    """Each row's most similar corpus vector, to nine places; zero norms give 0; the smallest id of ties wins. ``earlier``: of those of smaller ids only.
+
+    rows and corpus: (id, v of doubles, of one dimension). Blocks of both meet in a task each, as matrix products, and give one row for each of their rows.
     """
     parts = lambda df: max(1, -(-df.count() // BLOCK_ROWS))
     own = [F.col(c).alias(c) for c in ("id", "v")]  # both sides may come of one table
@@ -116,23 +123,10 @@ def cosine_best(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     deal, every = (lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     x = rows.withColumn("x", deal(n)).withColumn("y", every(m)).groupBy("x", "y")
     y = corpus.withColumn("y", deal(m)).withColumn("x", every(n)).groupBy("x", "y")
-    best = x.cogroup(y).applyInArrow(_best_of_blocks, "id long, sim double, other long")
+    best = x.cogroup(y).applyInArrow(_best_of_blocks(earlier), "id long, sim double, other long")
     return best.groupBy("id").agg(F.max(F.struct("sim", (-F.col("other")).alias("o"))).alias("m")).select("id", F.col("m.sim").alias("sim"), (-F.col("m.o")).alias("best_id"))
 
 
-def lexical_best(rows: DataFrame, history: DataFrame) -> DataFrame:
-    """Each row's best history text by the mean of Jaccard and TF cosine, by a join on tokens. rows, history: (id, tokens)."""
-
-    def counted(df: DataFrame) -> DataFrame:
-        tf = df.select("id", F.explode("tokens").alias("t")).groupBy("id", "t").count()
-        return tf.join(tf.groupBy("id").agg(F.count(F.lit(1)).alias("size"), F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("norm")), "id")
-
-    a, b = counted(rows).alias("a"), counted(history).alias("b")
-    pairs = a.join(b, F.expr("a.t = b.t")).groupBy(F.col("a.id").alias("id"), F.col("b.id").alias("other")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.expr("a.count * b.count")).alias("dot"), F.max(F.expr("a.size + b.size")).alias("sizes"), F.max(F.expr("a.norm * b.norm")).alias("norms"))
-    sims = pairs.select("id", "other", ((F.col("c") / (F.col("sizes") - F.col("c")) + F.col("dot") / F.col("norms")) / 2).alias("sim"))
-    return sims.groupBy("id").agg(F.max(F.struct(F.round("sim", 9).alias("sim"), (-F.col("other")).alias("o"))).alias("m")).select("id", F.col("m.sim").alias("sim"), (-F.col("m.o")).alias("best_id"))
-
-
 def tier_sample(df: DataFrame, n: int, shares: dict[str, float], seed: int = 7) -> DataFrame:
     """``n`` rows without replacement: each tier's share by weighted random keys, what is missing from the rest by the same keys.
 

@@ -59,25 +59,6 @@ def _(spark, d, items):
     return items.agg(F.count(F.lit(1)).alias("n"), F.count("published_at").alias("dated"))
 
 
-@query("j14_append_recent", "select vec_id, false as fresh from embeddings where vec_id % 5 = 0 union all select vec_id, true from embeddings where vec_id % 5 = 1")
-def _(spark, d):
-    v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id")
-    return v.where("vec_id % 5 = 0").withColumn("fresh", F.lit(False)).unionByName(v.where("vec_id % 5 = 1").withColumn("fresh", F.lit(True)))
-
-
-@query("j14_append_recent_all", "select vec_id, false as fresh from embeddings where vec_id % 5 = 0 union all select vec_id, true from embeddings where vec_id % 5 <> 0")
-def _(spark, d):
-    v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id")
-    return v.where("vec_id % 5 = 0").withColumn("fresh", F.lit(False)).unionByName(v.where("vec_id % 5 <> 0").withColumn("fresh", F.lit(True)))
-
-
-@query("j15_attach_vector", "select e.vec_id, coalesce(n.first_value, e.embedding[1]::double) as first_value from embeddings e left join (select vec_id, 2 * embedding[1]::double as first_value from embeddings where vec_id % 3 = 0) n using (vec_id)")
-def _(spark, d):
-    v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding")[0].cast("double").alias("old"))
-    new = v.where("vec_id % 3 = 0").select("vec_id", (2 * F.col("old")).alias("new"))
-    return v.join(new, "vec_id", "left").select("vec_id", F.coalesce("new", "old").alias("first_value"))
-
-
 @query("u01_concatenate", "select item_id, source_name from fx_items where content_type = 'paper' union all select item_id, null from fx_items where content_type <> 'policy'", ("fx_items",))
 def _(spark, d, items):
     papers = items.where("content_type = 'paper'").select("item_id", "source_name")

@@ -101,50 +101,6 @@ def _(spark, d, items, outputs):
     return recent.join(items, "item_id", "left").where(F.coalesce("title", F.lit("")) != "").select("output_id", F.col("title").alias("finding"))
 
 
-@query("s13_export_rows", "select item_id, 'NEW' as status, hook as headline, coalesce(action, '') as action, number as numbers, category, why, emotional_hook, population, time_window, source_name as source, url, round_even(((item_id % 997)::decimal(12, 3) / 8)::decimal(12, 3), 2)::double as score, clarity from fx_spine", ("fx_spine",))
-def _(spark, d, spine):
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    score = F.bround((F.col("item_id") % 997).cast("decimal(12,3)") / F.lit(8), 2).cast("double")
-    return spine.select("item_id", F.lit("NEW").alias("status"), F.col("hook").alias("headline"), blank("action"), F.array_join(F.array(F.col("number")), ", ").alias("numbers"), blank("category"), blank("why"), blank("emotional_hook"), blank("population"), blank("time_window"), F.col("source_name").alias("source"), "url", score.alias("score"), "clarity")
-
-
-@query("s14_export_rows_second", "select o.output_id, o.run_id, i.title, i.source_name, i.url, coalesce(strftime(i.published_at, '%Y-%m-%d %H:%M'), '') as published, o.virality_score, 'NEW' as status from fx_outputs o join fx_items i using (item_id)", ("fx_items", "fx_outputs"))
-def _(spark, d, items, outputs):
-    published = F.coalesce(F.date_format("published_at", "yyyy-MM-dd HH:mm"), F.lit("")).alias("published")
-    return outputs.join(items, "item_id").select("output_id", "run_id", "title", "source_name", "url", published, "virality_score", F.lit("NEW").alias("status"))
-
-
-@query("s15_export_rows_first", "select item_id, coalesce(nullif(number, ''), nullif(hook, ''), '') as claim, array_to_string(list_transform([why, coalesce(action, '-')], lambda x: '• ' || x), chr(10)) as reasons from fx_spine", ("fx_spine",))
-def _(spark, d, spine):
-    claim = F.coalesce(F.nullif("number", F.lit("")), F.nullif("hook", F.lit("")), F.lit(""))
-    reasons = F.array_join(F.transform(F.array("why", F.coalesce("action", F.lit("-"))), lambda x: F.concat(F.lit("• "), x)), "\n")
-    return spine.select("item_id", claim.alias("claim"), reasons.alias("reasons"))
-
-
-@query("s16_csv_rows", "select o.output_id, o.created_at, i.source_name, i.url from fx_outputs o left join fx_items i using (item_id) where o.created_at >= timestamp '1998-09-01' - interval 7 day order by created_at desc, output_id", ("fx_items", "fx_outputs"))
-def _(spark, d, items, outputs):
-    recent = outputs.where(F.col("created_at") >= F.expr("timestamp '1998-09-01' - interval 7 days"))
-    return recent.join(items, "item_id", "left").select("output_id", "created_at", "source_name", "url").orderBy(F.desc("created_at"), "output_id")
-
-
-@query("s17_last_rows", "select output_id, coalesce(case when output_id % 3 = 0 then null else run_id end, '') as run_id from fx_outputs order by output_id desc limit 50", ("fx_outputs",))
-def _(spark, d, outputs):
-    short = outputs.select("output_id", F.when(F.col("output_id") % 3 != 0, F.col("run_id")).alias("run_id"))
-    return short.orderBy(F.desc("output_id")).limit(50).na.fill("")
-
-
-@query("s20_run_ledger", "select user_id as run_id, arg_max(event_type, (ts, event_id)) as status, sum(value) filter (event_type = 'purchase') as counted, min(ts) as started, max(ts) as seen from events group by 1")
-def _(spark, d):
-    e, last = spark.read.parquet(f"{d}/events.parquet"), F.struct("ts", "event_id")
-    return e.groupBy(F.col("user_id").alias("run_id")).agg(F.max_by("event_type", last).alias("status"), F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("counted"), F.min("ts").alias("started"), F.max("ts").alias("seen"))
-
-
-@query("s21_cluster_cache", "select e.vec_id, e.label as cluster_id, c.n from embeddings e join (select label, count(*) as n from embeddings group by 1) c using (label)")
-def _(spark, d):
-    v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("label").alias("cluster_id"))
-    return v.join(v.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")), "cluster_id").select("vec_id", "cluster_id", "n")
-
-
 @query("s22_round_trip", "select item_id, url, title, published_at, case when item_id % 4 = 0 then 'news' else content_type end as content_type, 'B' as tier from fx_items", ("fx_items",))
 def _(spark, d, items):
     sent = items.select("item_id", F.to_json(F.struct("url", "title", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"), F.when(F.col("item_id") % 4 != 0, F.col("content_type")).otherwise("unheard of").alias("content_type"))).alias("j"))
@@ -168,11 +124,6 @@ def _(spark, d, items):
     return sources(items).groupBy("tier").agg(F.array_join(F.array_sort(F.collect_list("source_name")), ",").alias("names"))
 
 
-@query("s24_facts", "select run_id, pos, run_id || '-' || pos as output_id, archetype, score from fx_candidates where score >= 40", ("fx_candidates",))
-def _(spark, d, c):
-    return c.where("score >= 40").select("run_id", "pos", F.concat_ws("-", "run_id", "pos").alias("output_id"), "archetype", "score")
-
-
 @query("g04_enabled_sources", f", {SOURCES} select item_id from fx_items join sources using (source_name) where enabled and tier in ('A', 'B')", ("fx_items",))
 def _(spark, d, items):
     return items.join(sources(items).where("enabled and tier in ('A', 'B')"), "source_name", "left_semi").select("item_id")

@@ -120,14 +120,6 @@ def _(spark, d):
     return docs.join(after, "doc_id").select("doc_id", text.jaccard("w", "v").alias("sim"))
 
 
-@query("p31_novelty_penalty", "with s as (select vec_id, abs(embedding[1]::double) * 4 as sim, (vec_id % 100)::int as score from embeddings) select vec_id, sim < 0.86 as novel, case when sim >= 0.8 * 0.86 then greatest(0, trunc(score * (1 - 0.3 * least(1.0, (sim - 0.8 * 0.86) / (0.2 * 0.86)))))::int else score end as new_score from s")
-def _(spark, d):
-    s = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", (F.abs(F.col("embedding")[0].cast("double")) * 4).alias("sim"), (F.col("vec_id") % 100).cast("int").alias("score"))
-    t, f = 0.86, 0.3
-    cut = 1 - f * F.least(F.lit(1.0), (F.col("sim") - 0.8 * t) / (0.2 * t))
-    return s.select("vec_id", (F.col("sim") < t).alias("novel"), F.when(F.col("sim") >= 0.8 * t, F.greatest(F.lit(0), (F.col("score") * cut).cast("int"))).otherwise(F.col("score")).alias("new_score"))
-
-
 PARSED = "raw as (select event_id, case when response like '%```json%' then regexp_extract(response, '\\{.*\\}') else response end as body from fx_responses), ok as (select event_id, try_cast(body as json) as j from raw) "
 
 
@@ -224,25 +216,7 @@ def _(spark, d):
     return triage.cosine_best(v.where("id % 5 <> 0"), v.where("id % 5 = 0"))
 
 
-@query("j08_lexical_novelty", ", w as (select item_id as id, regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+') as t from fx_items where item_id % 40 = 0), h as (select distinct on (title) item_id as id, regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+') as t from fx_items where item_id % 41 = 1 order by title, item_id), a as (select id, x, count(*) as c from (select id, unnest(t) as x from w) group by all), b as (select id, x, count(*) as c from (select id, unnest(t) as x from h) group by all), na as (select id, count(*) as s, sqrt(sum(c * c)) as n from a group by 1), nb as (select id, count(*) as s, sqrt(sum(c * c)) as n from b group by 1), p as (select a.id, b.id as other, count(*) as c, sum(a.c * b.c) as d from a join b using (x) group by all), s as (select p.id, other, round((c::double / (na.s + nb.s - c) + d / (na.n * nb.n)) / 2, 9) as sim from p join na on na.id = p.id join nb on nb.id = p.other), r as (select *, row_number() over (partition by id order by sim desc, other) as k from s) select id, sim, other as best_id from r where k = 1", ("fx_items",))
-def _(spark, d, items):
-    rows = items.where("item_id % 40 = 0").select(F.col("item_id").alias("id"), text.tokens("title").alias("tokens"))
-    history = triage.first_wins(items.where("item_id % 41 = 1"), F.col("title")).select(F.col("item_id").alias("id"), text.tokens("title").alias("tokens"))
-    return triage.lexical_best(rows, history)
-
-
-@query("j08_lexical_novelty_all", None, ("fx_items",))
-def _(spark, d, items):
-    """Every item is a candidate or history, as in j06. Titles of the same tokens are compared once."""
-    keyed = items.select(F.col("item_id").alias("id"), F.array_sort(text.tokens("title")).alias("tokens"))
-    once = lambda df: df.groupBy("tokens").agg(F.min("id").alias("id")).select("id", "tokens")
-    candidates, history = keyed.where("id % 4 <> 0"), keyed.where("id % 4 = 0")
-    named = candidates.groupBy("tokens").agg(F.min("id").alias("named"))
-    best = triage.lexical_best(once(candidates), once(history)).withColumnRenamed("id", "named")
-    return candidates.join(named, "tokens").join(best, "named").select("id", "sim", "best_id")
-
-
-@query("p31_novelty_penalty_j07", f"with best as ({COSINE}) select id, sim < 0.86 as novel, case when sim >= 0.8 * 0.86 then greatest(0, trunc((id % 100) * (1 - 0.3 * least(1.0, (sim - 0.8 * 0.86) / (0.2 * 0.86)))))::int else (id % 100)::int end as new_score from best")
+@query("p31_novelty_penalty", f"with best as ({COSINE}) select id, sim < 0.86 as novel, case when sim >= 0.8 * 0.86 then greatest(0, trunc((id % 100) * (1 - 0.3 * least(1.0, (sim - 0.8 * 0.86) / (0.2 * 0.86)))))::int else (id % 100)::int end as new_score from best")
 def _(spark, d):
     s, t = QUERIES["j07_vector_novelty"](spark, d).withColumn("score", (F.col("id") % 100).cast("int")), 0.86
     cut = 1 - 0.3 * F.least(F.lit(1.0), (F.col("sim") - 0.8 * t) / (0.2 * t))
@@ -340,19 +314,6 @@ def _(spark, d, items, outputs):
     return items.join(outputs.where("virality_score > 45"), "item_id", "left_anti").select("item_id")
 
 
-@query("s10_corpus_snapshot", "select distinct substr(sha256(upper(title)), 1, 32) as headline_hash, upper(title) as headline from fx_items", ("fx_items",))
-def _(spark, d, items):
-    h = items.select(F.upper("title").alias("headline")).distinct()
-    return h.select(F.substring(F.sha2("headline", 256), 1, 32).alias("headline_hash"), "headline")
-
-
-@query("s18_feedback_view", "select o.output_id, arg_max(likes, feedback_id) filter (likes is not null) as likes, arg_max(shares, feedback_id) filter (shares is not null) as shares, case when count(feedback_id) > 0 then 'FEEDBACK' else min(status_code) end as status from fx_outputs o left join fx_feedback f on f.output_id = o.output_id group by 1", ("fx_outputs", "fx_feedback"))
-def _(spark, d, outputs, feedback):
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("feedback_id"))).alias(c)
-    now = feedback.groupBy("output_id").agg(latest("likes"), latest("shares"), F.lit("FEEDBACK").alias("s"))
-    return outputs.groupBy("output_id").agg(F.min("status_code").alias("status_code")).join(now, "output_id", "left").select("output_id", "likes", "shares", F.coalesce("s", "status_code").alias("status"))
-
-
 @query("s19_rejected_feedback", "select feedback_id from fx_feedback f where not exists (select 1 from fx_outputs o where o.output_id = f.output_id)", ("fx_outputs", "fx_feedback"))
 def _(spark, d, outputs, feedback):
     return feedback.join(outputs, "output_id", "left_anti").select("feedback_id")

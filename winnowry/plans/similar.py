@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from winnowry.functions import text
-from winnowry.operators import similar, triage
+from winnowry.operators import lexical, similar, triage
 from winnowry.plans.queries import COSINE, query
 
 #: Vectors of the test tables are less alike than those of real texts, so thresholds are lower here.
@@ -52,18 +52,30 @@ def _(spark, d):
     return similar.novelty(v.where("id % 5 <> 0"), v.where("id % 5 = 0"), NEAR)
 
 
-TOKENS = "regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+')"
+def lexical_sql(rows: str, history: str) -> str:
+    """CTEs that end in lex (id, sim, best_id): texts of the same words are compared once."""
+    bag = r"array_to_string(list_sort(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+')), ' ')"
+    return f"""ra as (select item_id as id, {bag} as k from fx_items where {rows}), rb as (select min(item_id) as id, {bag} as k from fx_items where {history} group by 2),
+a as (select k, x, count(*) as c from (select k, unnest(string_split(k, ' ')) as x from (select distinct k from ra where k <> '')) group by all), b as (select id, x, count(*) as c from (select id, unnest(string_split(k, ' ')) as x from rb where k <> '') group by all),
+na as (select k, count(*) as s, sqrt(sum(c * c)) as n from a group by 1), nb as (select id, count(*) as s, sqrt(sum(c * c)) as n from b group by 1), p as (select a.k, b.id as other, count(*) as c, sum(a.c * b.c) as d from a join b using (x) group by all),
+s as (select p.k, other, floor((c::double / (na.s + nb.s - c) + d / (na.n * nb.n)) / 2 * 1e9 + 0.5) / 1e9 as sim from p join na on na.k = p.k join nb on nb.id = p.other),
+best_of as (select k, sim, other from (select *, row_number() over (partition by k order by sim desc, other) as i from s) where i = 1), lex as (select ra.id, sim, other as best_id from ra join best_of using (k))"""
 
 
-@query("j13_by_method", f""", t as (select item_id as id, {TOKENS} as t from fx_items join embeddings on vec_id = item_id), best as ({COSINE}),
-a as (select id, x, count(*) as c from (select id, unnest(t) as x from t where id % 5 <> 0 and id % 7 = 0) group by all), b as (select id, x, count(*) as c from (select id, unnest(t) as x from t where id % 5 = 0) group by all),
-na as (select id, count(*) as s, sqrt(sum(c * c)) as n from a group by 1), nb as (select id, count(*) as s, sqrt(sum(c * c)) as n from b group by 1), p as (select a.id, b.id as other, count(*) as c, sum(a.c * b.c) as d from a join b using (x) group by all),
-lex as (select p.id, max(round((p.c::double / (na.s + nb.s - p.c) + d / (na.n * nb.n)) / 2, 9)) as sim from p join na on na.id = p.id join nb on nb.id = other group by 1)
-select t.id, case when t.id % 7 <> 0 then 'cosine' when lex.id is null then 'none' else 'lexical' end as method, case when t.id % 7 <> 0 then best.sim else coalesce(lex.sim, 0) end as sim from t left join best using (id) left join lex using (id) where t.id % 5 <> 0""", ("fx_items",))
+@query("j08_lexical_novelty", f", {lexical_sql('item_id % 4 <> 0', 'item_id % 4 = 0')} select id, sim, best_id from lex", ("fx_items",))
 def _(spark, d, items):
-    """Rows with a seventh of the vectors missing, which meet the history by their words."""
-    rows = vectors(spark, d).join(items, F.col("id") == F.col("item_id")).select("id", F.when((F.col("id") % 7 != 0) | (F.col("id") % 5 == 0), F.col("v")).alias("v"), text.tokens("title").alias("tokens"))
-    return similar.by_method(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"))
+    """Every item is a candidate or history, as in j06."""
+    keyed = items.select(F.col("item_id").alias("id"), text.tokens("title").alias("tokens"))
+    return lexical.lexical_best(keyed.where("id % 4 <> 0"), keyed.where("id % 4 = 0"))
+
+
+@query("j13_by_method", f""", best as ({COSINE}), {lexical_sql("item_id % 5 <> 0 and (item_id % 7 = 0 or item_id not in (select vec_id from embeddings where vec_id is not null))", 'item_id % 5 = 0')}
+select i.item_id as id, case when best.id is not null then 'cosine' when lex.id is null then 'none' else 'lexical' end as method, coalesce(best.sim, lex.sim, 0) as sim from fx_items i left join (select * from best where id % 7 <> 0) best on best.id = i.item_id left join lex on lex.id = i.item_id where i.item_id % 5 <> 0""", ("fx_items",))
+def _(spark, d, items):
+    """All items: those with a vector, less a seventh whose vector is missing, meet the history by it, the others by their words."""
+    rows = items.select(F.col("item_id").alias("id"), text.tokens("title").alias("tokens")).join(vectors(spark, d).select("id", "v"), "id", "left")
+    rows = rows.withColumn("v", F.when((F.col("id") % 7 != 0) | (F.col("id") % 5 == 0), F.col("v")))
+    return similar.by_method(rows.where("id % 5 <> 0"), vectors(spark, d).where("id % 5 = 0").select("id", "v").join(rows.select("id", "tokens"), "id", "full").where("id % 5 = 0"))
 
 
 @query("p29_tf_cosine", r"""with w as (select doc_id, x, count(*) as c from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as x from documents) group by all), i as (select x, ln((select count(*) from documents)::double / count(*)) as f from w group by 1),

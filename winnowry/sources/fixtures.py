@@ -55,7 +55,19 @@ select item_id, pos, item_id % 7 <> 0 as relevant, title as hook, source_name, u
  case when item_id % 5 = 0 then 'short' else 'people can act on it today' end as why, case when item_id % 8 = 0 then 'none' else 'surprise' end as emotional_hook, case when item_id % 6 = 0 then 'over 8 weeks' else '' end as time_window
 from ({ITEMS}) i
 """
-VIEWS = {"fx_spine": (SPINES, "orders"), "fx_items": (ITEMS, "orders"), "fx_candidates": (CANDIDATES, "lineitem"), "fx_responses": (RESPONSES, "events"), "fx_outputs": (OUTPUTS, "lineitem"), "fx_feedback": (FEEDBACK, "events")}
+EXPORTS = f"""
+select item_id, pos, concat('run_', cast(item_id % 5 as string)) as run_id, title, source_name, url, published_at, content_type, hook, category, why, emotional_hook, clarity,
+ case cast(item_id % 3 as int) when 0 then 'A' when 1 then 'B' else 'C' end as credibility_tier, upper(title) as image_headline, concat(title, ' Source: ', source_name) as caption,
+ cast(item_id % 101 as int) as likeness, cast(item_id * 7 % 101 as int) as category_score, cast(cast(item_id % 997 as decimal(12, 3)) / 8 as decimal(12, 3)) as final_score,
+ case when item_id % 3 = 0 then null else 'walk daily' end as action, case when item_id % 4 = 1 then null else 'less pain' end as outcome, case when item_id % 2 = 0 then '12%|3' else '' end as numbers_text,
+ case when item_id % 6 = 0 then 'over 8 weeks' else null end as time_window, case when item_id % 4 = 0 then 'adults aged 50' else null end as who, case when item_id % 5 = 0 then null else 'lower cortisol' end as mechanism,
+ case cast(item_id % 5 as int) when 0 then 'shock' when 1 then 'awe' when 2 then 'concern' when 3 then 'warmth' else 'humor' end as tone, case cast(item_id % 4 as int) when 0 then 'strong' when 1 then 'moderate' when 2 then 'emerging' else 'preliminary' end as support_level,
+ case when item_id % 7 = 0 then null else 'a knee, close' end as image_suggestion, 'number first|two lines' as layout_text, case when item_id % 9 = 0 then '' else 'LOWER|RISK' end as highlight_text,
+ case when item_id % 8 = 0 then null else 'STUDY_STAT' end as archetype, item_id % 7 <> 0 as relevant, case when item_id % 7 = 0 then 'off topic' else null end as relevance_reason, case when item_id % 10 = 0 then null else cast(item_id % 100 as int) end as virality_score, cast(case when item_id % 10 = 0 then null else cast(item_id % 1000 as decimal(12, 3)) / 1000 end as decimal(12, 3)) as confidence,
+ case when item_id % 3 = 0 then '' when item_id % 3 = 1 then null else title end as finding, case when item_id % 9 = 0 then null else concat('claim ', cast(item_id as string)) end as claim, case when item_id % 11 = 0 then '' else 'short|telling' end as reasons_text, case when item_id % 4 = 2 then null else 'RCT' end as study_type
+from (select item_id, pos, title, source_name, url, published_at, content_type, title as hook, case cast(item_id % 3 as int) when 0 then 'STUDY_SHOCK_COMPARISON' when 1 then 'FOOD_SYMPTOM_BENEFIT' else 'NONE' end as category, case when item_id % 5 = 0 then 'short' else 'people can act on it today' end as why, case when item_id % 8 = 0 then 'none' else 'surprise' end as emotional_hook, cast(5 + item_id % 6 as int) as clarity from ({ITEMS}) i) e
+"""
+VIEWS = {"fx_export": (EXPORTS, "orders"), "fx_spine": (SPINES, "orders"), "fx_items": (ITEMS, "orders"), "fx_candidates": (CANDIDATES, "lineitem"), "fx_responses": (RESPONSES, "events"), "fx_outputs": (OUTPUTS, "lineitem"), "fx_feedback": (FEEDBACK, "events")}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

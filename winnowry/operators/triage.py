@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,11 +45,28 @@ def headline_fault(h: str = "title", least: int = 30, most: int = 300) -> Column
     return F.coalesce(F.when(F.col(h).isNull() | (t == ""), F.lit("empty")), F.when(F.length(t) < least, F.lit("short")), F.when(F.length(t) > most, F.lit("long")), F.when(~t.rlike("[0-9]"), F.lit("no digit")), F.when(t.rlike("^[A-Z][A-Za-z ]*:"), F.lit("prefix")), F.when(t.contains("!"), F.lit("exclaim")))
 
 
+def said(low: Column, name: str, pattern: str) -> Column:
+    """Whether the text holds what the flag asks for: a word of its list, by the text's words; phrases and all else by pattern."""
+    if name not in rules.LEXICONS:
+        parts = [F.contains(low, F.lit(x)) for x in rules.NEEDED.get(name, ())]
+        return reduce(lambda a, b: a | b, parts) & low.rlike(pattern) if parts else low.rlike(pattern)
+    single, phrases = rules.LEXICONS[name]
+    any_of = lambda words: F.exists("_words", lambda w: w.isin(list(words)))
+    found = any_of(single)
+    if phrases:
+        found = found | (any_of(sorted({re.match("[a-z]+", p)[0] for p in phrases} | {x + "s" for p in phrases for x in re.findall(r"^([a-z]+)s\?", p)})) & low.rlike(rules.words(phrases)))
+    return found
+
+
 def categorised(df: DataFrame, text: str = "title") -> DataFrame:
     """Adds category, category_score, confidence and reasons (flags of the best scorecard): ties by order; below the floor NONE."""
-    # one bit a flag; made under a condition that the optimiser keeps in its place, so that no pattern is matched twice
-    bits = [F.when(F.lower(text).rlike(p), 1 << i).otherwise(0) for i, p in enumerate(rules.FLAGS.values())]
-    df = df.withColumn("_flags", F.when(F.monotonically_increasing_id() >= 0, reduce(lambda a, b: a + b, bits)).otherwise(0))
+    # made under a condition that the optimiser keeps in its place, so that no text is split and no pattern matched twice
+    once = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
+    df = df.withColumn("_low", once(F.lower(text)))
+    low = F.col("_low")
+    df = df.withColumn("_words", once(F.array_distinct(F.split(low, "[^a-z0-9_]+"))))
+    bits = [F.when(said(low, name, p), 1 << i).otherwise(0) for i, (name, p) in enumerate(rules.FLAGS.items())]
+    df = df.withColumn("_flags", F.coalesce(once(reduce(lambda a, b: a + b, bits)), F.lit(0)))
     flags = {name: F.col("_flags").bitwiseAND(F.lit(1 << i)) > 0 for i, name in enumerate(rules.FLAGS)}
     flags["symptom|body"] = flags["symptom"] | flags["body"]
     cards = []
@@ -58,7 +76,7 @@ def categorised(df: DataFrame, text: str = "title") -> DataFrame:
     df = df.withColumn("_cards", F.array(*cards)).withColumn("_best", F.array_max("_cards"))
     enough = F.col("_best.score") >= rules.FLOOR
     total = F.aggregate("_cards", F.lit(0), lambda a, c: a + c["score"])
-    return df.withColumn("category", F.when(enough, F.col("_best.name")).otherwise("NONE")).withColumn("category_score", F.when(enough, F.col("_best.score")).otherwise(0)).withColumn("confidence", F.when(enough, F.col("_best.score") / total).otherwise(0.0)).withColumn("reasons", F.when(enough, F.col("_best.reasons")).otherwise("")).drop("_cards", "_best", "_flags")
+    return df.withColumn("category", F.when(enough, F.col("_best.name")).otherwise("NONE")).withColumn("category_score", F.when(enough, F.col("_best.score")).otherwise(0)).withColumn("confidence", F.when(enough, F.col("_best.score") / total).otherwise(0.0)).withColumn("reasons", F.when(enough, F.col("_best.reasons")).otherwise("")).drop("_cards", "_best", "_flags", "_words", "_low")
 
 
 def capped(df: DataFrame, run: list, order: list, key: Column, cap: int | None, most: int) -> DataFrame:

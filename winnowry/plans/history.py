@@ -42,12 +42,6 @@ def _(spark, d, responses):
     return parsed(responses).where("j.relevant and j.virality_score >= 40").select("event_id", F.col("j.virality_score").alias("score"))
 
 
-@query("a04_gate_statistics", "select content_type, count(*) as n, count_if(length(body_text) >= 1200)::bigint as passed, count_if(length(body_text) < 1200)::bigint as rejected from fx_items group by 1", ("fx_items",))
-def _(spark, d, items):
-    long = F.length("body_text") >= 1200
-    return items.groupBy("content_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("passed"), F.count_if(~long).alias("rejected"))
-
-
 @query("a11_outcomes", "select count_if(length(text) >= 600)::bigint as success, count_if(length(text) < 600)::bigint as insufficient, count_if(text is null)::bigint as failed from documents")
 def _(spark, d):
     n = F.length("text")

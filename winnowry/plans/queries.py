@@ -236,17 +236,6 @@ def gated(items: DataFrame) -> DataFrame:
     return items.select("item_id", "source_name", F.coalesce(F.concat(F.lit("length:"), triage.short_body()), F.concat(F.lit("reject:"), triage.hard_reject("title"))).alias("reason"))
 
 
-@query("a02_funnel", f", {GATES} select count(*) as entered, count_if(reason is null or reason not like 'length:%')::bigint as after_length, count_if(reason is null)::bigint as after_reject from g", ("fx_items",))
-def _(spark, d, items):
-    r = F.col("reason")
-    return gated(items).agg(F.count(F.lit(1)).alias("entered"), F.count_if(r.isNull() | ~r.startswith("length:")).alias("after_length"), F.count_if(r.isNull()).alias("after_reject"))
-
-
-@query("a03_reasons", f", {GATES} select reason, count(*) as n from g where reason is not null group by 1", ("fx_items",))
-def _(spark, d, items):
-    return gated(items).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("a06_templates", " union all ".join(f"select '{n}' as template, count_if({rlike('lower(title)', p)})::bigint as n from fx_items" for n, p in rules.TEMPLATES), ("fx_items",))
 def _(spark, d, items):
     one = items.agg(*[F.count_if(F.lower("title").rlike(p)).alias(n) for n, p in rules.TEMPLATES])

@@ -34,7 +34,7 @@ def cosine(a: Column, b: Column) -> Column:
 def likeness(similarity: Column, newswords: Column) -> Column:
     """Score from 0 to 100: similarity from 0.6 on, less ten for each news word, thirty at most; 50 without a corpus."""
     raw = F.least(F.greatest((similarity - 0.6) * 250, F.lit(0.0)), F.lit(100.0)) - F.least(10 * newswords, F.lit(30))
-    return F.coalesce(F.least(F.greatest(raw.cast("int"), F.lit(0)), F.lit(100)), F.lit(50))
+    return F.when(similarity.isNull(), 50).otherwise(F.least(F.greatest(raw.cast("int"), F.lit(0)), F.lit(100)))
 
 
 def final_score(like: Column, category: Column, clarity: Column) -> Column:

@@ -13,7 +13,7 @@ from winnowry.sources.fixtures import ctes
 VIEWS = ("fx_items", "fx_spine", "fx_export")
 SLIDE = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({sql_strip('upper(own)', rules.SLIDE_PREFIXES)}, '!', ''), '\\.{{2,}}|…', ',', 'g'), ',\\s*,', ',', 'g'), '\\s+,', ',', 'g'), '\\s+', ' ', 'g'))"
 VALID = f"(length(slide) >= 30 and upper(slide) = slide and (regexp_matches(slide, '[0-9]') or {sql_one_of('slide', rules.SLIDE_COMPARISONS)} or {sql_one_of('slide', rules.SLIDE_TIMES)}) and not contains(left(slide, 30), ':'))"
-LIKE = f"coalesce(least(greatest(trunc(least(greatest((sim - 0.6) * 250, 0), 100) - least(10 * {sql_count('slide', rules.NEWSWORDS)}, 30))::int, 0), 100), 50)"
+LIKE = f"case when sim is null then 50 else least(greatest(trunc(least(greatest((sim - 0.6) * 250, 0), 100) - least(10 * {sql_count('slide', rules.NEWSWORDS)}, 30))::int, 0), 100) end"
 STUDIES = ", ".join(map(quoted, rules.STUDY_CATEGORIES))
 RUN = ctes(*VIEWS).rstrip() + f""", whole as (select * replace (title || ' ' || body_text as title), title as own from fx_items), c0 as (select *, {sql_cards()} from whole), c1 as (select *, {BEST} as best from c0),
 s1 as (select item_id, pos, own, url, body_text, content_type, {REJECT} as reject, {CATEGORY} as category, case when best < 30 then 0 else best end as category_score, row_number() over (partition by url order by pos) as place from c1),

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnowry.operators.elements import without_tags
 
-FEED = "link string, title string, summary string, description string, published string, pubDate string, author array<string>, category array<string>"
+
+ITEM = "title: string, link: string, summary: string, description: string, published: string, pubDate: string, updated: string, created: string, author: array<string>, category: array<string>"
+ENTRY = "title: string, link: array<struct<_href: string, _rel: string>>, summary: string, content: string, published: string, updated: string, created: string, author: array<struct<name: string>>, category: array<struct<_term: string>>"
+#: A feed's root is rss (items in its channel), RDF (items beside it) or feed (entries); a single landed item is a feed of one.
+FEED = f"channel struct<item: array<struct<{ITEM}>>>, item array<struct<{ITEM}>>, entry array<struct<{ENTRY}>>, {ITEM.replace(': ', ' ')}"
 #: Formats of dates in order; a weekday before the date is cut off.
 DATES = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "dd MMM yyyy HH:mm:ss Z", "dd MMM yyyy HH:mm:ss z", "yyyy-MM-dd")
 
@@ -18,12 +23,29 @@ def instant(text: Column) -> Column:
 
 
 def feed_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Item rows of entries; those without link or title are dropped; the summary, else the description, up to 2000 characters."""
-    e = payloads.select("*", F.from_xml(payload, FEED).alias("e"))
-    e = e.where((F.coalesce("e.link", F.lit("")) != "") & (F.coalesce("e.title", F.lit("")) != ""))
-    date = F.coalesce(instant(F.col("e.published")), instant(F.col("e.pubDate")))
-    summary = F.left(F.coalesce(F.nullif("e.summary", F.lit("")), "e.description"), F.lit(2000))
-    return e.select(*[c for c in payloads.columns if c != payload], F.col("e.link").alias("url"), F.trim("e.title").alias("title"), summary.alias("summary"), date.alias("published_at"), F.coalesce("e.author", F.array()).alias("authors"), F.coalesce("e.category", F.array()).alias("categories"))
+    """Item rows of landed feeds - RSS, RDF or Atom, or one item each - with pos, the place in the feed. Other columns stay.
+
+    Entries without link or title go. The summary, else the description, loses its tags and is cut at 2000 characters. The date is the first of
+    published, updated and created that can be read. Atom links: the alternate one, else the first.
+    """
+    own = [c for c in payloads.columns if c != payload]
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    fields = lambda link, summary, dates, authors, tags, title: F.struct(link.alias("url"), F.trim(title).alias("title"), summary.alias("summary"), F.coalesce(*[instant(d) for d in dates]).alias("published_at"), texts(authors).alias("authors"), texts(tags).alias("categories"))
+    first_told = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c])
+
+    def item(x: Column) -> Column:
+        return fields(x["link"], first_told(x["summary"], x["description"]), (x["published"], x["pubDate"], x["updated"], x["created"]), x["author"], x["category"], x["title"])
+
+    def entry(x: Column) -> Column:
+        alternate = F.get(F.filter(x["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))
+        return fields(F.coalesce(alternate, F.get(x["link"], F.lit(0)))["_href"], first_told(x["summary"], x["content"]), (x["published"], x["updated"], x["created"]), F.transform(x["author"], lambda a: a["name"]), F.transform(x["category"], lambda c: c["_term"]), x["title"])
+
+    e = payloads.select(*own, F.from_xml(payload, FEED).alias("e"))
+    several = lambda c, make: F.coalesce(F.transform(c, make), F.array())
+    alone = F.when(F.col("e.title").isNotNull() & F.col("e.entry").isNull(), F.array(item(F.col("e"))))
+    found = e.select(*own, F.posexplode(F.concat(several(F.col("e.channel.item"), item), several(F.col("e.item"), item), several(F.col("e.entry"), entry), F.coalesce(alone, F.array()))).alias("pos", "i"))
+    rows = found.select(*own, "pos", "i.url", "i.title", F.left(without_tags(F.col("i.summary")), F.lit(2000)).alias("summary"), "i.published_at", "i.authors", "i.categories")
+    return rows.where((F.coalesce("url", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != ""))
 
 
 def summaries(payloads: DataFrame, base: str, payload: str = "payload") -> DataFrame:

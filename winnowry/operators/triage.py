@@ -85,19 +85,23 @@ def capped(df: DataFrame, run: list, order: list, key: Column, cap: int | None,
     return ranked(df.where(F.col("_key").isNull() | (F.col("_in") <= cap)), run, order).where(F.col("rank") <= most).drop("_key", "_in")
 
 
-def interleaved(df: DataFrame, most: int, study_cap: int = 2, other_cap: int = 2, least_other: int = 1, run: str = "run_id") -> DataFrame:
-    """The mixer in closed form: other archetypes within their cap first, each followed by a study one; studies beyond the
-    cap and the rest fill up; what is taken is ordered by score."""
-    study = (F.coalesce("archetype", F.lit("STUDY_STAT")) == "STUDY_STAT").alias("study")
-    df = df.withColumn("_study", study)
-    df = ranked(df, [run, "archetype"], ["pos"], "_of").withColumn("_walks", ~F.col("_study") & (F.col("_of") <= other_cap))
+def interleaved(df: DataFrame, most: int, study_cap: int = 2, other_cap: int = 2, least_other: int = 1, run: str = "run_id", overflow: bool = True) -> DataFrame:
+    """The mixer in closed form: other archetypes within their cap first, each followed by a study one; with ``overflow``, studies beyond the
+    cap fill up what is left; what is taken is ordered by score. A null archetype is a study.
+
+    Rows that no run could take any more go by their rank in run and archetype, before runs come together.
+    """
+    kind = F.coalesce("archetype", F.lit("STUDY_STAT"))
+    df = df.withColumn("_kind", kind).withColumn("_study", kind == "STUDY_STAT")
+    df = ranked(df, [run, "_kind"], ["pos"], "_of").where(F.col("_of") <= max(most, other_cap))
+    df = df.where(F.when(F.col("_study"), F.lit(overflow) | (F.col("_of") <= study_cap)).otherwise(F.col("_of") <= other_cap))
     line = Window.partitionBy(run).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_k", F.sum(F.col("_walks").cast("int")).over(line)).withColumn("_j", F.sum(F.col("_study").cast("int")).over(line))
-    df = df.where(F.col("_walks") | F.col("_study"))
-    inner = F.col("_study") & (F.col("_j") <= study_cap)
-    slot = F.when(F.col("_walks"), F.struct(F.lit(0).alias("a"), F.col("_k").alias("b"), F.lit(0).alias("c"))).when(inner, F.struct(F.lit(0).alias("a"), (F.lit(max(least_other, 1)) + F.col("_j") - 1).alias("b"), F.lit(1).alias("c"))).otherwise(F.struct(F.lit(1).alias("a"), F.col("_j").alias("b"), F.lit(1).alias("c")))
-    df = ranked(df.withColumn("_slot", slot), [run], ["_slot", "pos"], "_pick").where(F.col("_pick") <= most)
-    return ranked(df, [run], [F.desc("score"), "_pick"]).drop("_study", "_of", "_walks", "_k", "_j", "_slot", "_pick")
+    df = df.withColumn("_k", F.sum(F.when(F.col("_study"), 0).otherwise(1)).over(line))
+    inner = F.col("_study") & (F.col("_of") <= study_cap)
+    slot = lambda a, b, c: F.struct(F.lit(a).alias("a"), b.alias("b"), F.lit(c).alias("c"))
+    place = F.when(~F.col("_study"), slot(0, F.col("_k"), 0)).when(inner, slot(0, F.lit(max(least_other, 1)) + F.col("_of") - 1, 1)).otherwise(slot(1, F.col("_of"), 1))
+    df = ranked(df.withColumn("_slot", place), [run], ["_slot", "pos"], "_pick").where(F.col("_pick") <= most)
+    return ranked(df, [run], [F.desc("score"), "_pick"]).drop("_kind", "_study", "_of", "_k", "_slot", "_pick")
 
 
 BLOCK_ROWS = 4096

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from winnowry.operators import triage
+from winnowry.operators import corpus, triage
 from winnowry.plans.queries import PARSED, query
 from winnowry.streaming import jobs
 
 
-#: Seeds from which k-means is started; the cheapest result is taken.
-RESTARTS = 10
-
-
 def parsed(responses):
     body = F.when(F.col("response").contains("```json"), F.regexp_extract("response", r"\{.*\}", 0)).otherwise(F.col("response"))
     return responses.select("event_id", F.from_json(body, "relevant boolean, virality_score int, suggested_archetype string, must_include_numbers array<string>").alias("j"))
@@ -79,17 +73,23 @@ def _(spark, d):
     return jobs.period_funnel(spark.read.parquet(f"{d}/events.parquet"))
 
 
+def points(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
 @query("a07_clusters")
 def _(spark, d):
-    """k-means in k = 8 groups, of several seeds the cheapest: rows of each cluster's size."""
-    v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    models = [KMeans(k=8, seed=42 + i).fit(v) for i in range(RESTARTS)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(v).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    """k-means in k = 8 groups, of ten starts the cheapest: each cluster's size."""
+    return corpus.clustered(points(spark, d)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a09_clusters_of_corpus")
+def _(spark, d):
+    """The clusters of a07 with their sizes and first three members."""
+    return corpus.summary(corpus.clustered(points(spark, d)))
 
 
 @query("a09_cluster_summary", "select label, count(*) as n, array_to_string(list(vec_id order by vec_id)[1:3], ',') as first_three from embeddings group by 1")
 def _(spark, d):
-    ranked = triage.ranked(spark.read.parquet(f"{d}/embeddings.parquet").select("label", "vec_id"), ["label"], ["vec_id"])
-    first = F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.col("vec_id"))))
-    return ranked.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.array_join(first, ",").alias("first_three"))
+    members = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
+    return corpus.summary(members).select(F.col("cluster").alias("label"), "n", F.col("examples").alias("first_three"))

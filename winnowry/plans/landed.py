@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 
 from winnowry.functions import rules
 from winnowry.functions.text import url_key
-from winnowry.operators import landed, pages, triage
+from winnowry.operators import corpus, landed, pages, triage
 from winnowry.operators.elements import without_boilerplate, without_tags
 from winnowry.plans.columns import quoted
 from winnowry.plans.queries import query
+from winnowry.sources import tables
 
-FEED = "concat('<item><title> ', title, ' </title>', case when item_id % 7 = 0 then '' else concat('<link>', url, '</link>') end, '<pubDate>Mon, ', date_format(coalesce(published_at, timestamp '2020-01-01'), 'dd MMM yyyy HH:mm:ss'), ' +0000</pubDate><description>', body_text, '</description><category>', content_type, '</category><category>', source_name, '</category></item>')"
+RSS_ITEM = "concat('<item><title> ', title, ' </title>', case when item_id % 7 = 0 then '' else concat('<link>', url, '</link>') end, '<pubDate>Mon, ', date_format(coalesce(published_at, timestamp '2020-01-01'), 'dd MMM yyyy HH:mm:ss'), ' +0000</pubDate><description>&lt;p&gt;', body_text, '&lt;/p&gt;</description><category>', content_type, '</category><category>', source_name, '</category></item>')"
+ATOM_ENTRY = "concat('<entry><title> ', title, ' </title>', case when item_id % 7 = 0 then '' else concat('<link rel=\"self\" href=\"https://self.example\"/><link href=\"', url, '\"/>') end, '<updated>', date_format(coalesce(published_at, timestamp '2020-01-01'), 'yyyy-MM-dd\\'T\\'HH:mm:ss'), 'Z</updated><summary>', body_text, '</summary><category term=\"', content_type, '\"/><category term=\"', source_name, '\"/></entry>')"
 
 
-@query("s01_feed_items", "select item_id, url, trim(title) as title, left(trim(body_text), 2000) as summary, coalesce(published_at, timestamp '2020-01-01') as published_at, content_type || ',' || source_name as categories from fx_items where item_id % 7 <> 0", ("fx_items",))
+@query("s01_feed_items", "select item_id // 40 as feed, url, trim(title) as title, left(trim(body_text), 2000) as summary, coalesce(published_at, timestamp '2020-01-01') as published_at, content_type || ',' || source_name as categories from fx_items where item_id % 7 <> 0", ("fx_items",))
 def _(spark, d, items):
-    found = landed.feed_items(items.select("item_id", F.expr(FEED).alias("payload")))
-    return found.select("item_id", "url", "title", F.trim("summary").alias("summary"), "published_at", F.array_join("categories", ",").alias("categories"))
+    """Feeds of up to forty entries, RSS and Atom in turn."""
+    each = items.select(F.floor(F.col("item_id") / 40).alias("feed"), "item_id", F.expr(RSS_ITEM).alias("rss"), F.expr(ATOM_ENTRY).alias("atom"))
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", c))), lambda x: x[c]), "")
+    feeds = each.groupBy("feed").agg(ordered("rss").alias("rss"), ordered("atom").alias("atom"))
+    rss, atom = F.concat(F.lit("<rss version=\"2.0\"><channel><title>All</title><link>https://x.example</link>"), "rss", F.lit("</channel></rss>")), F.concat(F.lit("<feed xmlns=\"http://www.w3.org/2005/Atom\"><title>All</title>"), "atom", F.lit("</feed>"))
+    found = landed.feed_items(feeds.select("feed", F.when(F.col("feed") % 2 == 0, rss).otherwise(atom).alias("payload")))
+    return found.select("feed", "url", "title", "summary", "published_at", F.array_join("categories", ",").alias("categories"))
 
 
 @query("s02_dates", "select item_id, case item_id % 4 when 3 then null when 2 then date_trunc('day', published_at) else published_at end as published_at from fx_items", ("fx_items",))
@@ -77,10 +84,30 @@ def _(spark, d, items):
     return items.select("item_id", F.expr(ARTICLE).alias("payload")).select("item_id", *[c.alias(n) for n, c in landed.article().items()])
 
 
-@query("s08_corpus", "select pos, trim(title) as headline from fx_items where trim(title) <> '' and not (pos = 0 and lower(trim(title)) = 'headline')", ("fx_items",))
+CORPUS = "select title || case when item_id % 5 = 0 then ', \"quoted\"' else '' end as headline from fx_items where item_id % 50 <> 0 union all select 'Title'"
+
+
+@query("s08_corpus", f", c as ({CORPUS}) select trim(headline) as headline, count(*) as n from c where trim(headline) <> '' group by 1", ("fx_items",))
+def _(spark, d, items):
+    """A corpus as CSV of two columns, with a header, blanks, quotes and a later cell that reads like a header."""
+    told = F.when(F.col("item_id") % 50 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "title", F.when(F.col("item_id") % 5 == 0, F.lit(', "quoted"')).otherwise("")))
+    rows = items.select("item_id", told.alias("Headline"), "source_name").unionByName(items.limit(1).select(F.lit(2**40).alias("item_id"), F.lit("Title").alias("Headline"), F.lit("x").alias("source_name")))
+    path = tables.scratch(spark, "winners")
+    rows.orderBy("item_id").select("Headline", "source_name").coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    return corpus.from_csv(spark, path).groupBy("headline").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s09_corpus_origin", "from (values ('first', 'sheet'), ('young', 'cache'), ('old', 'sheet'), ('forced', 'file'), ('nothing', 'none')) t(step, origin), (select count(distinct title) as all_, count(distinct title) filter (item_id % 2 = 0) as half from fx_items), lateral (select case step when 'nothing' then 0 when 'forced' then half else all_ end as n) select step, origin, n", ("fx_items",))
 def _(spark, d, items):
-    read = items.select("pos", F.trim(F.split(F.concat_ws("\t", "title", "source_name"), "\t")[0]).alias("headline"))
-    return read.where((F.col("headline") != "") & ~((F.col("pos") == 0) & (F.lower("headline") == "headline")))
+    """The corpus asked for in turn: without a cache, with a young one, with an old one, past it while the first origin fails, and without any origin."""
+    told = items.select(F.col("title").alias("headline"))
+    sheet, file = ("sheet", lambda: told, True), ("file", lambda: items.where("item_id % 2 = 0").select(F.col("title").alias("headline")), False)
+    broken = ("sheet", lambda: told.select(F.raise_error(F.lit("no answer")).alias("headline")), True)
+    path, out = tables.scratch(spark, "cache"), []
+    for step, as_of, origins, force in (("first", "2024-01-01", [sheet, file], False), ("young", "2024-01-01 12:00:00", [sheet, file], False), ("old", "2024-01-03", [sheet, file], False), ("forced", "2024-01-03", [broken, file], True), ("nothing", "2024-02-01", [], False)):
+        found, origin = corpus.loaded(spark, path, origins, as_of, force=force)
+        out.append(found.agg(F.count(F.lit(1)).alias("n")).select(F.lit(step).alias("step"), F.lit(origin).alias("origin"), "n"))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @query("s09_snapshot_is_fresh", "select source_name, max(published_at) as cached_at, coalesce(max(published_at) >= timestamp '1998-08-01' - interval 24 hour, false) as fresh from fx_items group by 1", ("fx_items",))

@@ -277,6 +277,12 @@ def _(spark, d, c):
     return triage.interleaved(c, 5).select("run_id", "pos", "rank")
 
 
+@query("w07_mixer_strict", ", a as (select *, archetype = 'STUDY_STAT' as study, row_number() over (partition by run_id, archetype order by pos) as o from fx_candidates), b as (select *, not study and o <= 2 as walks from a), c as (select *, sum(walks::int) over (partition by run_id order by pos) as k, sum(study::int) over (partition by run_id order by pos) as j from b), e as (select *, case when walks or j <= 2 then 0 else 1 end as s1, case when walks then k when j <= 2 then j else j end as s2, case when walks then 0 else 1 end as s3 from c where walks or (study and j <= 2)), f as (select *, row_number() over (partition by run_id order by s1, s2, s3, pos) as pick from e) select run_id, pos, row_number() over (partition by run_id order by score desc, pick)::int as rank from f where pick <= 5", ("fx_candidates",))
+def _(spark, d, c):
+    """Without overflow a run may put out fewer rows."""
+    return triage.interleaved(c, 5, overflow=False).select("run_id", "pos", "rank")
+
+
 @query("w08_study_cap", ", r as (select *, row_number() over (partition by run_id, archetype = 'STUDY_STAT' order by score desc, pos) as i from fx_candidates), p as (select *, row_number() over (partition by run_id order by score desc, pos)::int as rank from r where archetype <> 'STUDY_STAT' or i <= 2) select run_id, pos, rank from p where rank <= 5", ("fx_candidates",))
 def _(spark, d, c):
     study = F.when(F.col("archetype") == "STUDY_STAT", F.lit(True))

@@ -46,6 +46,11 @@ def narrative_fault(df: DataFrame, least_clarity: int = 7, least_relevance: int
     )
 
 
+def slide_precheck(least_clarity: int = 7) -> Column:
+    """Before a slide is written: the narrative is relevant and clear enough."""
+    return F.coalesce(F.when(~F.coalesce("relevant", F.lit(False)), F.lit("not_relevant")), F.when(F.col("clarity") < least_clarity, F.concat(F.lit("clarity_too_low:"), F.col("clarity").cast("string"))))
+
+
 def slide_valid(headline: str) -> Column:
     """Thirty characters, capitals, a number or a word of comparison or time, no colon near the beginning."""
     h = F.col(headline)

@@ -159,13 +159,6 @@ def _(spark, d, responses):
     return responses.select("event_id", elements.repaired("response").alias("body"))
 
 
-@query("p37_spine_responses", "select event_id, value::int as clarity, value between 0 and 10 as accepted from (select event_id, floor(value)::bigint % 15 as value from events)")
-def _(spark, d):
-    sent = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.to_json(F.struct((F.floor("value") % 15).alias("clarity"))).alias("response"))
-    read = sent.select("event_id", F.from_json(elements.repaired("response"), "clarity int").alias("r"))
-    return read.select("event_id", "r.clarity", F.col("r.clarity").between(0, 10).alias("accepted"))
-
-
 @query("p39_preview", "select item_id, left(title, 40) as title, left(body_text, 100) as body from fx_items", ("fx_items",))
 def _(spark, d, items):
     return items.select("item_id", F.left("title", F.lit(40)).alias("title"), F.left("body_text", F.lit(100)).alias("body"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from winnowry.operators import corpus, triage
-from winnowry.plans.queries import PARSED, query
+from winnowry.operators import corpus, gates, triage
+from winnowry.plans.queries import query
 from winnowry.streaming import jobs
 
 
-def parsed(responses):
-    body = F.when(F.col("response").contains("```json"), F.regexp_extract("response", r"\{.*\}", 0)).otherwise(F.col("response"))
-    return responses.select("event_id", F.from_json(body, "relevant boolean, virality_score int, suggested_archetype string, must_include_numbers array<string>").alias("j"))
+@query("g20_precheck", "select item_id, case when not relevant then 'not_relevant' when clarity < 7 then 'clarity_too_low:' || clarity end as reason from fx_spine", ("fx_spine",))
+def _(spark, d, spine):
+    return spine.select("item_id", gates.slide_precheck().alias("reason"))
 
 
 @query("g18_compression", "select item_id, coalesce(length(trim(title)) >= 30 and regexp_matches(title, '[0-9]') and not regexp_matches(trim(title), '^[A-Z][a-z]+:'), false) as valid from fx_items", ("fx_items",))
@@ -20,28 +20,6 @@ def _(spark, d, items):
     return items.select("item_id", F.coalesce((F.length(t) >= 30) & F.col("title").rlike("[0-9]") & ~t.rlike("^[A-Z][a-z]+:"), F.lit(False)).alias("valid"))
 
 
-@query("g20_precheck", "select run_id, pos, case when archetype = 'NEWS_POLICY' then 'not relevant' when clarity < 8 then 'unclear' end as reason from fx_candidates", ("fx_candidates",))
-def _(spark, d, c):
-    return c.select("run_id", "pos", F.when(F.col("archetype") == "NEWS_POLICY", "not relevant").when(F.col("clarity") < 8, "unclear").alias("reason"))
-
-
-@query("g22_required_fields", ", " + PARSED + "select event_id, (coalesce(len((j->'must_include_numbers')::varchar[]), 0) > 0)::int + (j->>'suggested_archetype' is not null)::int >= 2 as enough from ok", ("fx_responses",))
-def _(spark, d, responses):
-    numbers = (F.coalesce(F.size("j.must_include_numbers"), F.lit(0)) > 0).cast("int")
-    return parsed(responses).select("event_id", (numbers + F.col("j.suggested_archetype").isNotNull().cast("int") >= 2).alias("enough"))
-
-
-@query("g24_evaluated", ", " + PARSED + "select event_id, (j->>'virality_score')::int as score from ok where (j->>'relevant')::boolean and (j->>'virality_score')::int >= 40", ("fx_responses",))
-def _(spark, d, responses):
-    return parsed(responses).where("j.relevant and j.virality_score >= 40").select("event_id", F.col("j.virality_score").alias("score"))
-
-
-@query("a11_outcomes", "select count_if(length(text) >= 600)::bigint as success, count_if(length(text) < 600)::bigint as insufficient, count_if(text is null)::bigint as failed from documents")
-def _(spark, d):
-    n = F.length("text")
-    return spark.read.parquet(f"{d}/documents.parquet").agg(F.count_if(n >= 600).alias("success"), F.count_if(n < 600).alias("insufficient"), F.count_if(F.col("text").isNull()).alias("failed"))
-
-
 @query("a12_novelty_stats", "select count(*) as n, count(published_at) as dated from fx_items", ("fx_items",))
 def _(spark, d, items):
     return items.agg(F.count(F.lit(1)).alias("n"), F.count("published_at").alias("dated"))

@@ -252,3 +252,10 @@ def fetched(spark, d):
 @query("p14_body_fallback", P14 + f" select doc_id, body, {OUTCOME} as outcome from k")
 def _(spark, d):
     return fetched(spark, d).select("doc_id", "body", "outcome")
+
+
+@query("a11_outcomes", P14 + " select count_if(enough)::bigint as success, count_if(not enough)::bigint as insufficient, count_if(failed)::bigint as failed from k")
+def _(spark, d):
+    """Failed fetches count beside what their summaries come to."""
+    f = fetched(spark, d)
+    return f.agg(F.count_if("enough").alias("success"), F.count_if(~F.col("enough")).alias("insufficient"), F.count_if(F.col("outcome") == "failed").alias("failed"))

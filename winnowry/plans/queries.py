@@ -120,18 +120,6 @@ def _(spark, d):
     return docs.join(after, "doc_id").select("doc_id", text.jaccard("w", "v").alias("sim"))
 
 
-PARSED = "raw as (select event_id, case when response like '%```json%' then regexp_extract(response, '\\{.*\\}') else response end as body from fx_responses), ok as (select event_id, try_cast(body as json) as j from raw) "
-
-
-@query("p35_parse_response", ", " + PARSED + "select event_id, coalesce((j->>'relevant')::boolean, false) as relevant, case when coalesce((j->>'relevant')::boolean, false) then greatest(0, least(100, (j->>'virality_score')::int)) end as score, case when coalesce((j->>'relevant')::boolean, false) then case when j->>'suggested_archetype' in ('IF_THEN','STUDY_STAT') then j->>'suggested_archetype' else 'STUDY_STAT' end end as archetype from ok", ("fx_responses",))
-def _(spark, d, responses):
-    body = F.when(F.col("response").contains("```json"), F.regexp_extract("response", r"\{.*\}", 0)).otherwise(F.col("response"))
-    j = responses.select("event_id", F.from_json(body, "relevant boolean, virality_score int, suggested_archetype string").alias("j"))
-    relevant = F.coalesce("j.relevant", F.lit(False))
-    known = F.when(F.col("j.suggested_archetype").isin("IF_THEN", "STUDY_STAT"), F.col("j.suggested_archetype")).otherwise("STUDY_STAT")
-    return j.select("event_id", relevant.alias("relevant"), F.when(relevant, F.greatest(F.lit(0), F.least(F.lit(100), "j.virality_score"))).alias("score"), F.when(relevant, known).alias("archetype"))
-
-
 @query("g01_freshness", "select item_id from fx_items where published_at is null or published_at >= timestamp '1998-01-01' - interval 48 hour", ("fx_items",))
 def _(spark, d, items):
     return triage.fresh(items, "1998-01-01 00:00:00", 48).select("item_id")
@@ -195,12 +183,6 @@ def _(spark, d, items, outputs):
     return items.join(outputs.where("created_at >= timestamp '1998-06-01'"), "item_id", "left_semi").select("url").distinct()
 
 
-@query("j05_latest_outputs", ", f as (select output_id, count(*) as n, string_agg(cast(feedback_id as varchar), ',' order by feedback_id) as ids from fx_feedback group by 1) select o.output_id, i.title, coalesce(n, 0) as n_feedback, ids from fx_outputs o join fx_items i using (item_id) left join f on f.output_id = o.output_id", ("fx_items", "fx_outputs", "fx_feedback"))
-def _(spark, d, items, outputs, feedback):
-    f = feedback.groupBy("output_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("feedback_id")), lambda x: x.cast("string")), ",").alias("ids"))
-    return outputs.join(items.select("item_id", "title"), "item_id").join(f, "output_id", "left").select("output_id", "title", F.coalesce("n", F.lit(0)).alias("n_feedback"), "ids")
-
-
 @query("j06_history_urls", f"select item_id from fx_items where item_id % 4 <> 0 and {KEY} not in (select {KEY} from fx_items where item_id % 4 = 0)", ("fx_items",))
 def _(spark, d, items):
     keyed = items.withColumn("k", text.url_key("url"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnowry.plans import columns, history, landed, runs, similar, sinks  # noqa: F401  registers their queries
+from winnowry.plans import columns, history, landed, responses, runs, similar, sinks  # noqa: F401  registers their queries
 from winnowry.plans.queries import ORACLES, QUERIES
 
 

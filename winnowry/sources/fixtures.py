@@ -67,7 +67,21 @@ select item_id, pos, concat('run_', cast(item_id % 5 as string)) as run_id, titl
  case when item_id % 3 = 0 then '' when item_id % 3 = 1 then null else title end as finding, case when item_id % 9 = 0 then null else concat('claim ', cast(item_id as string)) end as claim, case when item_id % 11 = 0 then '' else 'short|telling' end as reasons_text, case when item_id % 4 = 2 then null else 'RCT' end as study_type
 from (select item_id, pos, title, source_name, url, published_at, content_type, title as hook, case cast(item_id % 3 as int) when 0 then 'STUDY_SHOCK_COMPARISON' when 1 then 'FOOD_SYMPTOM_BENEFIT' else 'NONE' end as category, case when item_id % 5 = 0 then 'short' else 'people can act on it today' end as why, case when item_id % 8 = 0 then 'none' else 'surprise' end as emotional_hook, cast(5 + item_id % 6 as int) as clarity from ({ITEMS}) i) e
 """
-VIEWS = {"fx_export": (EXPORTS, "orders"), "fx_spine": (SPINES, "orders"), "fx_items": (ITEMS, "orders"), "fx_candidates": (CANDIDATES, "lineitem"), "fx_responses": (RESPONSES, "events"), "fx_outputs": (OUTPUTS, "lineitem"), "fx_feedback": (FEEDBACK, "events")}
+REPLIES = """
+select event_id, case when event_id % 17 = 0 then 'no json at all' when event_id % 19 = 0 then '{"relevant": true, "virality' else concat(case cast(event_id % 5 as int) when 0 then '```json ' when 1 then 'Here it is: ' else '' end,
+ '{"relevant": ', case when event_id % 3 = 0 then 'false' else 'true' end, ', "rejection_reason": ', case when event_id % 6 = 0 then '"off topic"' else 'null' end, case when event_id % 4 = 0 then ', "reason": "because"' else '' end,
+ ', "study_type": "', case when event_id % 7 = 0 then 'guess' else 'RCT' end, '", "population": ', case when event_id % 5 = 0 then 'null' when event_id % 5 = 1 then '"all"' else '"adults over 50"' end, ', "sample_size": "', case when event_id % 4 = 1 then '' else cast(event_id % 900 as string) end,
+ '", "time_window": ', case when event_id % 3 = 1 then '"8 weeks"' else 'null' end, ', "most_surprising_finding": "finding ', cast(event_id as string), '", "extracted_claim": ', case when event_id % 2 = 0 then '""' else '"the claim"' end,
+ ', "must_include_numbers": [', case when event_id % 4 = 3 then '' else '"12%", "3 years"' end, '], "suggested_archetype": "', case when event_id % 8 = 0 then 'OTHER' else 'IF_THEN' end, '", "virality_score": ', case when event_id % 9 = 0 then 'null' when event_id % 9 = 1 then '"55"' when event_id % 9 = 2 then '140' when event_id % 9 = 3 then '-3' else cast(cast(floor(value) as bigint) as string) end,
+ ', "confidence": ', case when event_id % 10 = 0 then '1.5' when event_id % 10 = 1 then 'null' else '0.25' end, case when event_id % 11 = 0 then '' else ', "why_it_will_work": ["short", "telling"]' end, '}', case cast(event_id % 5 as int) when 0 then ' ``` and so on' when 1 then ' hope it helps' else '' end) end as response
+from events
+"""
+TALES = """
+select event_id, case when event_id % 23 = 0 then '{"relevant": tr' else concat('{"relevant": true, "primitive": "', case when event_id % 7 = 0 then 'OTHER' else 'TIME_REVERSAL' end, '", "hook": ', case when event_id % 13 = 0 then 'null' else '"a hook"' end, ', "numbers": ["12%"], "mechanism_clause": "m", "why_it_matters": "w", "standalone_clarity": ', cast(event_id % 13 as string),
+ ', "tone": "', case when event_id % 5 = 0 then 'anger' else 'awe' end, '", "emotional_hook": "', case when event_id % 11 = 0 then 'joy' else 'hope' end, '", "support_level": "', case when event_id % 9 = 0 then 'weak' else 'strong' end, '"}') end as response
+from events
+"""
+VIEWS = {"fx_replies": (REPLIES, "events"), "fx_tales": (TALES, "events"), "fx_export": (EXPORTS, "orders"), "fx_spine": (SPINES, "orders"), "fx_items": (ITEMS, "orders"), "fx_candidates": (CANDIDATES, "lineitem"), "fx_responses": (RESPONSES, "events"), "fx_outputs": (OUTPUTS, "lineitem"), "fx_feedback": (FEEDBACK, "events")}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

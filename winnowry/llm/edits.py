@@ -13,6 +13,8 @@ import numpy as np
 
 #: Cells that a step works on, and characters of a batch of pairs.
 CELLS, CHARS = 1 << 15, 1 << 22
+#: Distance that the first round allows.
+FIRST = 32
 #: Steps after which pairs that are too far apart are left out.
 LOOK = 64
 #: Code points, and the two fillers that no character equals.
@@ -131,34 +133,28 @@ def distances(xs: Sequence[str], ys: Sequence[str], caps: np.ndarray) -> np.ndar
     return np.minimum(out, caps + 1)
 
 
-def similar(xs: Sequence[str], ys: Sequence[str], similarity: float, whole: int, stretch: int) -> np.ndarray:
-    """Whether the edit similarity of each pair is reached.
+def similar(xs: Sequence[str], ys: Sequence[str], similarity: float) -> np.ndarray:
+    """Whether the edit similarity of each pair is reached, exactly, whatever the lengths.
 
-    Of middles beyond ``whole`` characters the distance is summed over stretches of ``stretch`` words in the same place
-    (and of pieces of ``whole`` characters, where words are that long): never less than the distance, and a little more where words were put in.
+    Each round allows four times the distance of the one before, up to what the similarity allows, so a pair costs its length times its own distance.
     """
     most = np.array([int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in zip(xs, ys, strict=True)], np.int64)
-    of, left, right, caps = [], [], [], []
-    total = np.zeros(len(most), np.int64)
+    linked, open_ = np.zeros(len(most), bool), []
+    pairs = {}
     for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
         if abs(len(x) - len(y)) > most[i]:
-            total[i] = most[i] + 1
             continue
-        x, y = middles(x, y)
-        if max(len(x), len(y)) <= most[i]:
-            continue
-        pairs = [(x, y)]
-        if max(len(x), len(y)) > whole:
-            a, b = x.split(" "), y.split(" ")
-            pairs = [(" ".join(a[k : k + stretch]), " ".join(b[k : k + stretch])) for k in range(0, max(len(a), len(b)), stretch)]
-            total[i] += sum(k >= min(len(a), len(b)) for k in range(0, max(len(a), len(b)), stretch))
-            wide = max(whole, 8 * stretch)
-            pairs = [(u[k : k + wide], v[k : k + wide]) for u, v in pairs for k in range(0, max(len(u), len(v), 1), wide)]
-        for u, v in pairs:
-            of.append(i)
-            left.append(u)
-            right.append(v)
-            caps.append(most[i])
-    if of:
-        np.add.at(total, np.array(of), distances(left, right, np.array(caps)))
-    return total <= most
+        u, v = middles(x, y)
+        if max(len(u), len(v)) <= most[i]:
+            linked[i] = True
+        else:
+            pairs[i] = u, v
+            open_.append(i)
+    todo, allowed = np.array(open_, np.int64), FIRST
+    while len(todo):
+        caps = np.minimum(most[todo], allowed)
+        near = distances([pairs[i][0] for i in todo], [pairs[i][1] for i in todo], caps) <= caps
+        linked[todo[near]] = True
+        todo = todo[~near & (caps < most[todo])]
+        allowed *= 4
+    return linked

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from winnowry.operators import corpus, landed, triage
+from winnowry.operators import corpus, landed, origins, triage
 
 DAY = datetime.datetime(2024, 5, 1, 10, 0)
 RSS = """<?xml version="1.0"?><rss version="2.0"><channel><title>All</title><link>http://all</link>
@@ -67,3 +67,14 @@ def test_corpus_file(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text(text)
         assert [r.headline for r in corpus.from_csv(spark, f"file://{tmp_path}/{name}.csv").collect()] == want
     assert corpus.from_csv(spark, f"file://{tmp_path}/none.csv").count() == 0
+
+
+def test_sources(spark):
+    known = spark.createDataFrame([(1, "a", "A", 2.0, True, ["Tea"]), (2, "b", "B", 1.0, False, None), (3, "a", "C", 1.0, True, [])], "pos int, source_name string, tier string, weight double, enabled boolean, keywords array<string>")
+    more = origins.added(known, spark.createDataFrame([(4, "c")], "pos int, source_name string"))
+    assert [(r.pos, r.tier, r.weight, r.enabled, r.keywords) for r in more.where("pos = 4").collect()] == [(4, "B", 1.0, True, None)]
+    assert sorted(r.pos for r in origins.listed(more).collect()) == [1, 3, 4] and [r.pos for r in origins.listed(more, False, "B").orderBy("pos").collect()] == [2, 4]
+    assert sorted(r.pos for r in origins.removed(more, ["a", "none"]).collect()) == [2, 3, 4]
+    items = spark.createDataFrame([(1, "a", "green TEA"), (2, "a", "coffee"), (3, "b", "tea"), (4, "c", "x"), (5, "d", "tea")], "item_id long, source_name string, title string")
+    assert sorted(r.item_id for r in origins.wanted(items, more.where("pos <> 3")).collect()) == [1, 4]
+    assert sorted(r.item_id for r in origins.wanted(items, more).collect()) == [1, 2, 4]

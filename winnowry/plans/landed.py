@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from winnowry.functions import rules
 from winnowry.functions.text import url_key
-from winnowry.operators import corpus, landed, pages, triage
+from winnowry.operators import corpus, landed, origins, pages, triage
 from winnowry.operators.elements import without_boilerplate, without_tags
 from winnowry.plans.columns import quoted
 from winnowry.plans.queries import query
@@ -151,6 +151,16 @@ def _(spark, d, items):
     return sources(items).groupBy("tier").agg(F.array_join(F.array_sort(F.collect_list("source_name")), ",").alias("names"))
 
 
+@query("s23_registry", f""", {SOURCES}, s as (select source_name, enabled, case when priority = 1 then 'study' when priority = 2 then 'sleep' end as word from sources where source_name <> 'Source 3'), n as (select 'Source 3' as source_name, true as enabled, 'fda' as word), k as (select * from s union all select * from n)
+select item_id from fx_items join k using (source_name) where enabled and (word is null or contains(lower(title), word))""", ("fx_items",))
+def _(spark, d, items):
+    """Items that the sources' keywords let in, after one source was removed and added anew with a keyword of its own."""
+    word = F.when(F.col("priority") == 1, "Study").when(F.col("priority") == 2, "sleep")
+    known = sources(items).select(F.col("source_name"), F.lit(0).alias("pos"), "tier", "weight", "enabled", F.array_compact(F.array(word)).alias("keywords"))
+    new = items.where("source_name = 'Source 3'").select("source_name").distinct().select("source_name", F.lit(1).alias("pos"), F.array(F.lit("FDA")).alias("keywords"))
+    return origins.wanted(items, origins.added(origins.removed(known, ["Source 3"]), new)).select("item_id")
+
+
 @query("g04_enabled_sources", f", {SOURCES} select item_id from fx_items join sources using (source_name) where enabled and tier in ('A', 'B')", ("fx_items",))
 def _(spark, d, items):
     return items.join(sources(items).where("enabled and tier in ('A', 'B')"), "source_name", "left_semi").select("item_id")

@@ -53,7 +53,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
     parts = -(-edges.count() // PART)
-    stars = staged(edges.coalesce(max(parts, 1)).mapInArrow(forest, "id long, root long"), "stars")
+    stars = staged(edges.repartition(max(parts, 1)).mapInArrow(forest, "id long, root long"), "stars")
     if parts <= 1:
         return stars.withColumnRenamed("root", "component")
     stars = stars.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b")

@@ -26,7 +26,7 @@ BYTES = 1 << 17
 VALUES = splitmix(256, 31)
 ORDERS = (splitmix(BANDS * MINIMA, 7) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Grams that a lane of 16 bits can count.
+#: Grams that a lane of 16 bits counts at most.
 LANE = (1 << 16) - 1
 
 
@@ -94,11 +94,11 @@ def simhashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     begin = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * LANE
     of_line = np.cumsum(parts) - parts
     out = np.zeros(len(first), np.uint64)
-    lanes = np.uint64(0x0001000100010001)
+    lanes, lowest = np.uint64(0x0001000100010001), np.uint64(0xFFFF)
     for i in range(16):
         summed = np.add.reduceat((hashes >> np.uint64(i)) & lanes, begin)
         for lane in range(4):
-            votes = np.add.reduceat((summed >> np.uint64(16 * lane)) & np.uint64(LANE), of_line).astype(np.int64)
+            votes = np.add.reduceat((summed >> np.uint64(16 * lane)) & lowest, of_line).astype(np.int64)
             out |= (2 * votes > count).astype(np.uint64) << np.uint64(i + 16 * lane)
     return signed(out)
 

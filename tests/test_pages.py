@@ -122,3 +122,9 @@ def test_each_page_is_parsed_once(spark):
 def test_other_columns_stay(spark):
     rows = spark.createDataFrame([(1, "<p>x", "kept")], "page_id long, html string, other string")
     assert pages.page_text(rows).columns == ["page_id", "html", "other", "body"] and pages.page_text(rows.where(F.lit(False))).count() == 0
+
+
+def test_references_that_no_semicolon_ends_are_text(spark):
+    body = "des&&&amp zu &copy &lt;b&gt; &notit; &#38; &amp;amp; &#65 " * 20
+    read = body.replace("&lt;", "<").replace("&gt;", ">").replace("&#38;", "&").replace("&amp;amp;", "&amp;").strip()
+    assert texts(spark, f"<article>{body}</article>") == [read]

@@ -4,8 +4,10 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from winnowry.operators import corpus, landed, origins, triage
+from winnowry import registry
+from winnowry.operators import corpus, landed, origins, responses, triage
 
 DAY = datetime.datetime(2024, 5, 1, 10, 0)
 RSS = """<?xml version="1.0"?><rss version="2.0"><channel><title>All</title><link>http://all</link>
@@ -78,3 +80,14 @@ def test_sources(spark):
     items = spark.createDataFrame([(1, "a", "green TEA"), (2, "a", "coffee"), (3, "b", "tea"), (4, "c", "x"), (5, "d", "tea")], "item_id long, source_name string, title string")
     assert sorted(r.item_id for r in origins.wanted(items, more.where("pos <> 3")).collect()) == [1, 4]
     assert sorted(r.item_id for r in origins.wanted(items, more).collect()) == [1, 2, 4]
+
+
+def test_latest_outputs_are_all_or_those_asked_for(spark):
+    outputs = spark.createDataFrame([(i, i % 2, f"r{i}", DAY - datetime.timedelta(days=i)) for i in range(30)], "output_id long, item_id long, run_id string, created_at timestamp")
+    items = spark.createDataFrame([(0, "s", "u", "t", DAY)], "item_id long, source_name string, url string, title string, published_at timestamp")
+    feedback = spark.createDataFrame([(2, 25, 1, None, DAY), (1, 25, 3, 4, DAY), (3, 0, 5, 6, DAY)], "feedback_id long, output_id long, likes long, shares long, recorded_at timestamp")
+    got = responses.latest_outputs(outputs, items, feedback).collect()
+    assert [r.output_id for r in got] == list(range(30)) and [f.feedback_id for f in got[25].feedback] == [1, 2] and not got[1].feedback
+    few = responses.latest_outputs(outputs, items, feedback, F.lit(DAY).cast("timestamp"), days=7, limit=5).collect()
+    assert [(r.output_id, len(r.feedback)) for r in few] == [(0, 1), (1, 0), (2, 0), (3, 0), (4, 0)]
+    assert registry.queries()["j05_latest_outputs"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()

@@ -93,13 +93,18 @@ def narratives(responses: DataFrame, response: str = "response") -> tuple[DataFr
     return marked.where("fault is null").withColumn("spine", whole).drop("fault"), marked.where("fault is not null").drop("spine")
 
 
-def latest_outputs(outputs: DataFrame, items: DataFrame, feedback: DataFrame, as_of: Column, days: int = 7, limit: int = 20) -> DataFrame:
-    """The newest outputs with their source, and their feedback as a list, oldest first.
+def latest_outputs(outputs: DataFrame, items: DataFrame, feedback: DataFrame, as_of: Column | None = None, days: int = 7, limit: int | None = None) -> DataFrame:
+    """Outputs, newest first, with their source and their feedback as a list, oldest first: all of them, or those of ``days`` before ``as_of``, or the first ``limit``.
 
-    The few outputs are picked first, so only their feedback is gathered.
+    Feedback is gathered by output before it meets them; where only some outputs are asked for, only theirs is.
     """
-    few = outputs.where(F.col("created_at") >= as_of - F.expr(f"interval {days} days")).orderBy(F.desc("created_at"), "output_id").limit(limit)
+    held, wanted = outputs, feedback
+    if as_of is not None:
+        held = held.where(F.col("created_at") >= as_of - F.expr(f"interval {days} days"))
+    if limit is not None:
+        held = held.orderBy(F.desc("created_at"), "output_id").limit(limit)
+        wanted = feedback.join(F.broadcast(held.select("output_id")), "output_id", "left_semi")
     source = items.select(F.col("item_id").alias("_item"), F.struct(F.col("source_name").alias("name"), "url", "title", "published_at").alias("source"))
-    told_ = feedback.join(F.broadcast(few.select("output_id")), "output_id", "left_semi").groupBy(F.col("output_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("recorded_at", "feedback_id", "likes", "shares"))).alias("feedback"))
-    joined = F.broadcast(few).join(source, F.col("item_id") == F.col("_item"), "left").join(told_, F.col("output_id") == F.col("_of"), "left")
+    told_ = wanted.groupBy(F.col("output_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("recorded_at", "feedback_id", "likes", "shares"))).alias("feedback"))
+    joined = held.join(source, F.col("item_id") == F.col("_item"), "left").join(told_, F.col("output_id") == F.col("_of"), "left")
     return joined.drop("_item", "_of").withColumn("feedback", F.coalesce("feedback", F.array())).orderBy(F.desc("created_at"), "output_id")

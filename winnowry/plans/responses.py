@@ -44,8 +44,9 @@ def _(spark, d, tales):
     return accepted.select("event_id", F.lit(None).cast("string").alias("fault"), F.col("spine.standalone_clarity").alias("clarity"), F.col("spine.primitive").alias("category")).unionByName(rejected.select("event_id", "fault"), allowMissingColumns=True)
 
 
-@query("j05_latest_outputs", ", few as (select * from fx_outputs where created_at >= timestamp '1998-08-01' - interval 7 day order by created_at desc, output_id limit 20), f as (select output_id, string_agg(concat_ws(':', feedback_id, coalesce(likes, -1), coalesce(shares, -1)), ',' order by recorded_at, feedback_id) as told from fx_feedback group by 1) select few.output_id, few.run_id, few.created_at, i.source_name, i.url, i.title, coalesce(f.told, '') as feedback from few left join fx_items i using (item_id) left join f on f.output_id = few.output_id", ("fx_items", "fx_outputs", "fx_feedback"))
+@query("j05_latest_outputs", ", f as (select output_id, count(*) as n, string_agg(concat_ws(':', feedback_id, coalesce(likes, -1), coalesce(shares, -1)), ',' order by recorded_at, feedback_id) as told from fx_feedback group by 1) select o.output_id, o.run_id, o.created_at, i.source_name, i.url, i.title, coalesce(f.n, 0) as n_feedback, coalesce(f.told, '') as feedback from fx_outputs o left join fx_items i using (item_id) left join f on f.output_id = o.output_id", ("fx_items", "fx_outputs", "fx_feedback"))
 def _(spark, d, items, outputs, feedback):
-    found = responses.latest_outputs(outputs, items, feedback, F.expr("timestamp '1998-08-01'"))
+    """Every output with its source and feedback."""
+    found = responses.latest_outputs(outputs, items, feedback)
     told = F.array_join(F.transform("feedback", lambda f: F.concat_ws(":", f["feedback_id"].cast("string"), F.coalesce(f["likes"], F.lit(-1)).cast("string"), F.coalesce(f["shares"], F.lit(-1)).cast("string"))), ",")
-    return found.select("output_id", "run_id", "created_at", F.col("source.name").alias("source_name"), "source.url", "source.title", told.alias("feedback"))
+    return found.select("output_id", "run_id", "created_at", F.col("source.name").alias("source_name"), "source.url", "source.title", F.size("feedback").cast("long").alias("n_feedback"), told.alias("feedback"))

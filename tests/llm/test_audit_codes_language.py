@@ -217,6 +217,31 @@ def test_language(spark, monkeypatch):
     check(split)
 
 
+def test_calibration_counts_every_learned_document(spark, monkeypatch):
+    draw = random.Random(5)
+    words = {"xx": "abcdefgh", "yy": "cdefghij"}
+    rows = [(i, k := draw.choice(list(words)), " ".join("".join(draw.choice(words[k]) for _ in range(draw.randint(1, 6))) for _ in range(draw.randint(1, 9)))) for i in range(6000)]
+    known = language.Identifier(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3))
+    every, h, n = known.measured(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    got = every.select("lang", h, n).collect()
+    values, root, right = np.array([r[1] for r in got]), np.sqrt([r[2] for r in got]), np.array([known.langs.index(r.lang) for r in got])
+
+    def loss(beta):
+        z = -beta * values * root[:, None]
+        return np.mean(np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[np.arange(len(z)), right])
+
+    assert known.beta == min((2.0**e for e in np.arange(-3, 9, 0.5)), key=loss)
+    for i in range(2):
+        own = (right == i) & (values.argmin(1) == i)
+        mean = values[own, i].mean()
+        assert math.isclose(known.cuts[2 * i], mean, rel_tol=1e-7)
+        assert math.isclose(known.cuts[2 * i + 1], np.quantile((values[own, i] - mean) * root[own], 1 - language.REJECTED, method="higher"), rel_tol=1e-5)
+    monkeypatch.setattr(language, "BINS", 3)
+    some = spark.createDataFrame([(i, float(draw.randint(0, 50)) ** 3) for i in (0, 2) for _ in range(300)] + [(5, 1.5)], "i int, x double")
+    by = {i: [r.x for r in some.collect() if r.i == i] for i in (0, 2, 5)}
+    assert language.quantiles(some, 0.9) == {i: float(np.quantile(x, 0.9, method="higher")) for i, x in by.items()}
+
+
 def test_language_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     known = language.Identifier(none)

@@ -5,10 +5,10 @@ words. Spark counts runs of four symbols of each language over all documents tha
 and interpolation follow from them. A model is a sorted array of the hashes of the runs that were seen (24 bits,
 their symbols) with a log-probability for each language, and tables of the shorter runs. A document's language has
 the lowest cross-entropy per symbol. Scores are a softmax of entropies whose temperature is fitted, like the cut of each language beyond which a document is
-``rejected``, on at most ``SAMPLE`` learned documents (smallest hashes), of which ``REJECTED`` lie beyond.
+``rejected``, on all learned documents, of which ``REJECTED`` lie beyond: Spark adds up the losses and counts the ranks.
 
 A model holds at most 2 ** 24 runs whatever the corpus, so its size is bounded; languages that together exceed ``MODEL_BYTES`` are scored by several passes over the
-row, in one chain. The driver holds one group's arrays at a time; nothing of single documents but the sample's entropies comes to it.
+row, in one chain. The driver holds one group's arrays at a time; nothing of single documents comes to it.
 
 Defined results: a null text and one without letters are ``und`` with score 0; so is every text where nothing was learned; a null lang or
 id is never learned from, a null id is not held out; ties go to the first language by name; equal rows have equal results; an empty table
@@ -32,8 +32,9 @@ ORDER, BITS = 4, 6
 #: Symbols; runs of one to four.
 A1, A2, A3 = 1 << BITS, 1 << 2 * BITS, 1 << 3 * BITS
 MODEL_BYTES = 128 << 20
-SAMPLE = 4000
 REJECTED = 0.001
+#: Bins of a language's values that a round of the search for its quantile counts.
+BINS = 1024
 UNKNOWN = "und"
 #: Runs that a task holds before it hands on counts, and symbols that are looked up at once.
 HELD, AT_ONCE = 1 << 20, 1 << 20
@@ -200,10 +201,37 @@ def entropies(shared, into: str, symbols: str) -> Callable:
     return run
 
 
+def quantiles(values: DataFrame, q: float) -> dict[int, float]:
+    """The q-quantile of each group's values, the higher one where it lies between two. values: (i, x).
+
+    Rounds count values in bins between bounds that narrow around the rank, until one value is left; no group is sorted or held in a task.
+    """
+    open_ = {r.i: (r.lo, r.hi, int(np.ceil(q * (r.n - 1)))) for r in values.groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
+    done: dict[int, float] = {}
+    while open_:
+        for i in [i for i, (lo, hi, _) in open_.items() if lo == hi]:
+            done[i] = open_.pop(i)[0]
+        if not open_:
+            break
+        lo, hi = (F.create_map(*[F.lit(v) for i, found in open_.items() for v in (i, found[k])])[F.col("i")] for k in (0, 1))
+        place = F.least(F.floor((F.col("x") - lo) / (hi - lo) * BINS), F.lit(BINS - 1))
+        bins: dict[int, list] = {}
+        for r in values.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy("i", place.alias("bin")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")).collect():
+            bins.setdefault(r.i, []).append(r)
+        for i, found in bins.items():
+            rank = open_[i][2]
+            for r in sorted(found, key=lambda r: r.bin):
+                if rank < r.n:
+                    break
+                rank -= r.n
+            open_[i] = (r.lo, r.hi, rank)
+    return done
+
+
 class Identifier:
     """Models of the languages of a corpus and their calibration."""
 
-    def __init__(self, learn: DataFrame, sample: int = SAMPLE) -> None:
+    def __init__(self, learn: DataFrame) -> None:
         """learn: (doc_id, text, lang), all documents that may be learned from."""
         self.spark: SparkSession = learn.sparkSession
         small_batches(self.spark)
@@ -215,7 +243,7 @@ class Identifier:
         self.shared = []
         for group in self.groups(sizes):
             self.shared.append(self.spark.sparkContext.broadcast(model(counts.where(F.col("lang").isin(group)).toArrow(), group)))
-        self.beta, self.cuts = self.calibrated(known, sample)
+        self.beta, self.cuts = self.calibrated(known)
 
     def groups(self, sizes: dict[str, int]) -> list[list[str]]:
         """Languages whose models fit ``MODEL_BYTES`` together, in order; one by itself at least."""
@@ -238,32 +266,27 @@ class Identifier:
             docs = docs.mapInArrow(entropies(shared, h, n), docs.schema)
         return docs, h, n
 
-    def calibrated(self, known: DataFrame, sample: int) -> tuple[float, list[float]]:
-        """The temperature under which the sample's languages are likeliest, and the cut of each language."""
+    def calibrated(self, known: DataFrame) -> tuple[float, list[float]]:
+        """The temperature under which all learned documents' languages are likeliest, and the cut of each language."""
         none = [x for _ in self.langs for x in (0.0, float("inf"))]
         if not self.langs:
             return 1.0, none
-        known = known.withColumn("key", F.xxhash64("doc_id", "text"))
-        last = known.select("key").orderBy("key").limit(sample).agg(F.max("key")).first()[0]  # keys alone are sorted, no texts
-        some, h, n = self.measured(known.where(F.col("key") <= F.lit(last)))
-        rows = some.where(F.col(n) > 0).groupBy("key").agg(F.min(F.struct("lang", F.col(h).alias("h"), F.col(n).alias("n"))).alias("r")).select("r.*").collect()
-        if not rows:
+        every, h, n = self.measured(known.select("text", "lang"))
+        right = F.array_position(F.array(*map(F.lit, self.langs)), F.col("lang")).cast("int") - 1
+        rows = staged(every.where(F.col(n) > 0).select(right.alias("i"), F.col(h).alias("h"), F.sqrt(F.col(n)).alias("root")), "entropies")
+        exact = lambda x: x.cast("decimal(28,9)")  # noqa: E731  # sums that don't depend on the order
+        betas = [2.0**e for e in np.arange(-3, 9, 0.5)]
+        z = lambda beta, x: -F.lit(float(beta)) * F.col("root") * (x - F.array_min("h"))
+        loss = lambda beta: F.log(F.aggregate("h", F.lit(0.0), lambda a, x: a + F.exp(z(beta, x)))) - z(beta, F.get("h", F.col("i")))
+        losses = rows.agg(*[F.sum(exact(loss(b))).alias(f"b{k}") for k, b in enumerate(betas)]).first()
+        if losses[0] is None:
             return 1.0, none
-        h, root = np.array([r.h for r in rows]), np.sqrt(np.array([r.n for r in rows], float))
-        right = np.array([self.langs.index(r.lang) for r in rows])
-
-        def loss(beta: float) -> float:
-            z = -beta * h * root[:, None]
-            z -= z.max(1, keepdims=True)
-            return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), right]))
-
-        beta = min((2.0**e for e in np.arange(-3, 9, 0.5)), key=loss)
-        cuts = []
-        for i in range(len(self.langs)):
-            own = (right == i) & (h.argmin(1) == i)
-            mean = h[own, i].mean() if own.any() else 0.0
-            cuts.append((mean, float(np.quantile((h[own, i] - mean) * root[own], 1 - REJECTED)) if own.any() else float("inf")))
-        return float(beta), [x for cut in cuts for x in cut]
+        beta = betas[min(range(len(betas)), key=lambda k: losses[k])]
+        own = rows.select("i", "root", F.get("h", F.col("i")).alias("x"), F.array_min("h").alias("least"), (F.array_position("h", F.array_min("h")) - 1 == F.col("i")).alias("own")).where("own")
+        means = {r.i: float(r.s) / r.n for r in own.groupBy("i").agg(F.sum(exact(F.col("x"))).alias("s"), F.count(F.lit(1)).alias("n")).collect()}
+        mean = F.get(F.array(*[F.lit(means.get(i, 0.0)) for i in range(len(self.langs))]), F.col("i"))
+        beyond = quantiles(own.select("i", ((F.col("x") - mean) * F.col("root")).alias("x")), 1 - REJECTED)
+        return float(beta), [x for i in range(len(self.langs)) for x in (means.get(i, 0.0), beyond.get(i, float("inf")))]
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """docs: (text, ...). Adds lang_pred, score, n_symbols, entropy (bits per symbol) and rejected, in place of text."""

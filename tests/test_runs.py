@@ -98,3 +98,8 @@ def test_runs_of_nothing(spark):
     none = spark.createDataFrame([row(1, "x")]).where("item_id < 0")
     got = runs.third_run(none, spark.createDataFrame([], "item_id long, relevant boolean, rejection_reason string, clarity int, hook string"), spark.createDataFrame([], "item_id long, sim double"))
     assert got.count() == 0 and [(r.entered, r.passed) for r in runs.funnel(got, runs.THIRD_STAGES).collect()] == [(0, 0)] * 8
+
+
+def test_no_text_is_shuffled_by_the_combined_filter(spark):
+    evidence = spark.createDataFrame([], "item_id long, number string, population string, time string, comparison string")
+    assert "body_text" not in runs.generic_filter(spark.createDataFrame([row(1, "x")]), evidence).columns

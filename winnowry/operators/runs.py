@@ -132,13 +132,13 @@ SECOND_STAGES = ["content", "pre_filter", "repeats", "narrative", "narrative_qua
 
 
 def second_run(items: DataFrame, spines: DataFrame, headlines: DataFrame, past_urls: DataFrame, vectors: DataFrame, past_vectors: DataFrame, alike: float = 0.85, most: int = 5, each: int = 5) -> DataFrame:
-    """Items with fault and rank.
+    """Items, without their bodies, with fault and rank.
 
     items as in the third run; spines: (item_id, relevant, clarity, emotional_hook, category, numbers, why, hook, ...), headlines: (item_id, headline), both one an
     item at most; past_urls: (url_key) of earlier runs; vectors: (id, v) of the items' findings, past_vectors: (id, v) of earlier ones. Novelty goes in the order of ids, which is the
     order of pos here. The selection takes actionable archetypes first, then the clearest, ``each`` of an archetype.
     """
-    rows = cut(judged(entered(items), [Stage("content", F.when(triage.short_body().isNotNull(), F.lit("insufficient"))), Stage("pre_filter", triage.truism())], 1), "run")
+    rows = cut(judged(entered(items), [Stage("content", F.when(triage.short_body().isNotNull(), F.lit("insufficient"))), Stage("pre_filter", triage.truism())], 1).drop("body_text"), "run")
     keyed = inside(rows).withColumn("url_key", text.url_key("url"))
     fresh = keyed.join(past_urls.select("url_key"), "url_key", "left_anti")
     kept = triage.first_wins(fresh, F.col("url_key")).select("item_id")
@@ -161,18 +161,17 @@ def second_run(items: DataFrame, spines: DataFrame, headlines: DataFrame, past_u
 
 
 def generic_filter(items: DataFrame, evidence: DataFrame, least: int = 2) -> DataFrame:
-    """Items with fault: the filter before evaluation - length, then truisms without anything specific - and the one after it, of fewer than ``least`` kinds of evidence.
+    """Items, without their bodies, with fault: the filter before evaluation - length, then truisms without anything specific - and the one after it, of fewer than ``least`` kinds of evidence.
 
     evidence: (item_id, number, population, time, comparison), of the items that were evaluated.
     """
     kinds = ("number", "population", "time", "comparison")
     told = evidence.select(F.col("item_id").alias("_id"), sum(F.col(k).isNotNull().cast("int") for k in kinds).alias("kinds"), gates.differentiator_summary({k: F.col(k) for k in kinds}).alias("differentiators"))
-    rows = entered(items).join(told, F.col("item_id") == F.col("_id"), "left").drop("_id")
     short = F.concat(F.lit("insufficient_content:"), F.length("body_text").cast("string"))
-    return judged(rows, [
-        Stage("pre_ai", F.coalesce(F.when(triage.short_body().isNotNull(), short), F.when(triage.truism().isNotNull(), F.lit("generic_truism")))),
-        Stage("post_ai", F.when(F.col("kinds") < least, F.concat(F.lit("differentiators:"), F.col("kinds").cast("string")))),
-    ], 1)
+    before = F.coalesce(F.when(triage.short_body().isNotNull(), short), F.when(triage.truism().isNotNull(), F.lit("generic_truism")))
+    rows = judged(entered(items), [Stage("pre_ai", before)], 1).drop("body_text")  # texts are judged where they are read and not shuffled
+    rows = rows.join(told, F.col("item_id") == F.col("_id"), "left").drop("_id")
+    return judged(rows, [Stage("post_ai", F.when(F.col("kinds") < least, F.concat(F.lit("differentiators:"), F.col("kinds").cast("string"))))], 2)
 
 
 def filter_statistics(rows: DataFrame) -> DataFrame:

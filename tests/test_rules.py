@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from winnowry.functions import rules
 from winnowry.operators import elements, gates, pages, triage
 
 
@@ -59,3 +60,25 @@ def test_sample_takes_each_tier_and_fills(spark):
     got = triage.tier_sample(spark.createDataFrame(rows, "item_id long, tier string, weight double"), 20, {"A": 0.5, "B": 0.3, "C": 0.2}).collect()
     n = {t: sum(r.tier == t for r in got) for t in "ABC"}
     assert (len(got), n["A"]) == (20, 3) and n["B"] >= 6 and n["C"] >= 4
+
+
+def test_arrays_and_gates_are_those_of_their_patterns(spark):
+    """The quick ways - words of the text, parts that a match needs - find what the plain patterns find."""
+    import random
+    import re
+
+    draw = random.Random(3)
+    words = [*"study meta-analysis analysis meta blood pressure heart rate gut bacteria immune system brain fog olive oil oils nuts nutss eggs egg runs running runed who world health organization centers for disease control".split(), "blood  pressure", "12%", "3 years", "5 weeks later", "over 9 days", "2.5 times more", "4 x higher", "3.5-fold", "n = 1,200 adults", "among 30", "aged 50-70", "daily for 6 weeks", "equivalent to eating a lot of it.", "same as", "like smoking it", "compared to a control", "vs. others", "no significant", "may not help", "failed to show", "objectives", "stakeholders", "local authority", "tickets on sale", "20 people joined", "community program launches", "local club offers", "Sleep,", "x_who", "whole"]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 9))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", triage.hard_reject("t").alias("reject"), *[c.alias(n) for n, c in elements.extracted("t").items()]).collect()
+    for r in got:
+        low = (texts[r.i] or "").lower()
+        plain = {n: [m[1] for p in ps for m in re.finditer(p, low, re.ASCII)] for n, ps in rules.ELEMENTS.items()}
+        plain = {n: sorted(set(v)) if n in rules.DISTINCT else v for n, v in plain.items()}
+        plain["times"] += [x + "-fold" for x in plain.pop("folds")]
+        if texts[r.i] is not None:
+            assert {n: r[n] for n in plain} == plain, low
+        hit = lambda found: any(re.search(p, low, re.ASCII) for _, p in found)  # noqa: E731, B023
+        admin = sum(bool(re.search(p, low, re.ASCII)) for _, p in rules.ADMIN) >= 2
+        assert r.reject == ("null_result" if hit(rules.NULL_RESULT) else "admin" if admin else "promo" if hit(rules.PROMO) else "local program" if hit(rules.LOCAL) else None), low

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnowry.functions import rules
-from winnowry.functions.text import count_matches, first_rule, hits
+from winnowry.functions.text import any_part, any_phrase, any_word, count_matches, first_rule, hits, once, worded
 
 
 def ranked(df: DataFrame, by: list, order: list, name: str = "rank") -> DataFrame:
@@ -48,23 +47,16 @@ def headline_fault(h: str = "title", least: int = 30, most: int = 300) -> Column
 def said(low: Column, name: str, pattern: str) -> Column:
     """Whether the text holds what the flag asks for: a word of its list, by the text's words; phrases and all else by pattern."""
     if name not in rules.LEXICONS:
-        parts = [F.contains(low, F.lit(x)) for x in rules.NEEDED.get(name, ())]
-        return reduce(lambda a, b: a | b, parts) & low.rlike(pattern) if parts else low.rlike(pattern)
+        return any_part(low, rules.NEEDED[name]) & low.rlike(pattern) if name in rules.NEEDED else low.rlike(pattern)
     single, phrases = rules.LEXICONS[name]
-    any_of = lambda words: F.exists("_words", lambda w: w.isin(list(words)))
-    found = any_of(single)
-    if phrases:
-        found = found | (any_of(sorted({re.match("[a-z]+", p)[0] for p in phrases} | {x + "s" for p in phrases for x in re.findall(r"^([a-z]+)s\?", p)})) & low.rlike(rules.words(phrases)))
-    return found
+    found = any_word(single)
+    return found | (any_phrase(phrases) & low.rlike(rules.words(phrases))) if phrases else found
 
 
 def categorised(df: DataFrame, text: str = "title") -> DataFrame:
     """Adds category, category_score, confidence and reasons (flags of the best scorecard): ties by order; below the floor NONE."""
-    # made under a condition that the optimiser keeps in its place, so that no text is split and no pattern matched twice
-    once = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
-    df = df.withColumn("_low", once(F.lower(text)))
+    df = worded(df, text)
     low = F.col("_low")
-    df = df.withColumn("_words", once(F.array_distinct(F.split(low, "[^a-z0-9_]+"))))
     bits = [F.when(said(low, name, p), 1 << i).otherwise(0) for i, (name, p) in enumerate(rules.FLAGS.items())]
     df = df.withColumn("_flags", F.coalesce(once(reduce(lambda a, b: a + b, bits)), F.lit(0)))
     flags = {name: F.col("_flags").bitwiseAND(F.lit(1 << i)) > 0 for i, name in enumerate(rules.FLAGS)}

@@ -125,3 +125,18 @@ def test_no_join_on_frequent_words(spark):
     history = spark.range(2000).selectExpr("id + 5000 as id", "array('the', 'of', 'and', concat('other', id)) as tokens")
     got = lexical.lexical_best(rows, history).collect()
     assert len(got) == 2000 and {r.best_id for r in got} == {5000}
+
+
+def test_blocks_hold_a_few_rows_similarities_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from winnowry.operators import triage
+
+    draw = np.random.default_rng(1)
+    rows, corpus = (pa.table({"id": list(ids), "v": draw.normal(size=(len(ids), 8)).tolist()}) for ids in (range(0, 1400, 2), range(1, 900, 3)))
+    for earlier in (False, True):
+        few = triage._best_of_blocks(earlier)(None, rows, corpus)
+        with monkeypatch.context() as m:
+            m.setattr(triage, "AT_ONCE", 10**6)
+            assert triage._best_of_blocks(earlier)(None, rows, corpus).equals(few)

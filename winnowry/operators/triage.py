@@ -97,6 +97,8 @@ def interleaved(df: DataFrame, most: int, study_cap: int = 2, other_cap: int = 2
 
 
 BLOCK_ROWS = 4096
+#: Rows of a block whose similarities a task holds at once.
+AT_ONCE = 256
 
 
 def _best_of_blocks(earlier: bool):
@@ -113,14 +115,17 @@ def _best_of_blocks(earlier: bool):
             return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
         corpus = corpus.sort_by("id")
-        sims = np.round(unit(rows) @ unit(corpus).T, 9)
-        ids = rows.column("id").to_numpy()
-        if earlier:
-            sims[corpus.column("id").to_numpy()[None, :] >= ids[:, None]] = -np.inf
-        at = sims.argmax(1)
-        best = sims[np.arange(len(at)), at]
-        met = np.flatnonzero(best > -np.inf)
-        return pa.table({"id": ids[met], "sim": best[met], "other": corpus.column("id").to_numpy()[at[met]]})
+        left, right = unit(rows), unit(corpus).T
+        ids, others, found = rows.column("id").to_numpy(), corpus.column("id").to_numpy(), []
+        for lo in range(0, len(ids), AT_ONCE):
+            sims, own = np.round(left[lo : lo + AT_ONCE] @ right, 9), ids[lo : lo + AT_ONCE]
+            if earlier:
+                sims[others[None, :] >= own[:, None]] = -np.inf
+            at = sims.argmax(1)
+            best = sims[np.arange(len(at)), at]
+            met = np.flatnonzero(best > -np.inf)
+            found.append((own[met], best[met], others[at[met]]))
+        return pa.table(dict(zip(("id", "sim", "other"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return run
 

@@ -103,3 +103,14 @@ def test_runs_of_nothing(spark):
 def test_no_text_is_shuffled_by_the_combined_filter(spark):
     evidence = spark.createDataFrame([], "item_id long, number string, population string, time string, comparison string")
     assert "body_text" not in runs.generic_filter(spark.createDataFrame([row(1, "x")]), evidence).columns
+
+
+def test_no_text_is_shuffled_by_the_third_run(spark):
+    read = runs.read_texts(spark.createDataFrame([row(1, "It failed to show benefit"), row(2, "It failed to show benefit", 10)]))
+    assert "body_text" not in read.columns and [(r.told, r.category) for r in read.orderBy("item_id").collect()] == [("3|hard_reject|null_result", "NONE"), ("2|content|insufficient", "NONE")]
+
+
+def test_lists_of_patterns_are_one_pass(spark):
+    assert "regexp_count" not in str(triage.truism()) and str(triage.truism()).count("rlike(") == 3
+    df = spark.createDataFrame([("Regular exercise is good for you", "nothing"), ("Regular exercise is good for you", "fell by 12%"), ("Regular exercise is good for you", None), ("A walk", "nothing")], "title string, body_text string")
+    assert [r[0] for r in df.select(triage.truism()).collect()] == ["truism", None, None, None]

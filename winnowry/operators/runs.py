@@ -99,29 +99,43 @@ def numbered(top: DataFrame, order: list) -> DataFrame:
 THIRD_STAGES = ["address", "content", "hard_reject", "category", "narrative", "slide", "score", "selection"]
 
 
+def read_texts(items: DataFrame, least_category: int = 40) -> DataFrame:
+    """Items of a third run, without their bodies, with category, category_score and told, the first fault that the text alone shows.
+
+    Texts are judged where they are read, so none is shuffled. A text under its least length leaves the run before it is analysed: its category is NONE.
+    """
+    rows = items.withColumn("_short", text.once(triage.short_body().isNotNull()))
+    rows = rows.withColumn("_full", text.once(F.when(~F.col("_short"), F.concat_ws(" ", "title", "body_text"))))
+    rows = triage.categorised(rows, "_full", ("_low", "_held"))
+    told = F.coalesce(
+        fault(2, "content", F.when(F.col("_short"), F.lit("insufficient"))),
+        fault(3, "hard_reject", triage.hard_reject("_full", F.col("_low"), F.col("_held"))),
+        fault(4, "category", F.when((F.col("category_score") < least_category) & (F.col("category") == "NONE"), F.lit("weak"))),
+    )
+    return rows.withColumn("told", text.once(told)).drop("body_text", "confidence", "reasons", "_short", "_full", "_low", "_held")
+
+
 def third_run(items: DataFrame, spines: DataFrame, similarities: DataFrame, most: int = 5, clarity: int = 7, alike: float = 0.78, least_final: float = 50, least_category: int = 40, studies: int = 2) -> DataFrame:
-    """Items with category, slide, final_score, fault and rank.
+    """Items, without their bodies, with category, fault and rank, and slide and final_score from the narrative on.
 
-    items: (item_id, pos, url, title, body_text, content_type, ...); spines: (item_id, relevant, rejection_reason, clarity, hook), one an item at most; similarities:
+    items: (item_id, pos, url, title, body_text, content_type, ...), or what ``read_texts`` made of them; spines: (item_id, relevant, rejection_reason, clarity, hook), one an item at most; similarities:
     (item_id, sim) to the reference corpus, null or missing without one. Equal scores go by pos. In one shuffle by address and one by id, items are judged by all stages in a row.
     """
-    rows = triage.ranked(entered(items), ["url"], ["pos"], "_place").withColumn("_full", F.concat_ws(" ", "title", "body_text"))
-    rows = triage.categorised(rows, "_full")
+    rows = entered(items if "told" in items.columns else read_texts(items, least_category))
+    rows = triage.ranked(rows, ["url"], ["pos"], "_place")
+    rows = rows.withColumn("told", F.coalesce(fault(1, "address", F.when(F.col("_place") > 1, F.lit("repeated"))), "told"))
     told = spines.select(F.col("item_id").alias("_id"), "relevant", "rejection_reason", "clarity", "hook")
-    rows = rows.join(told, F.col("item_id") == F.col("_id"), "left").drop("_id").withColumn("slide", elements.clean_slide("hook"))
+    rows = rows.join(told, F.col("item_id") == F.col("_id"), "left").drop("_id")
+    rows = rows.withColumn("slide", text.once(F.when(F.col("told").isNull(), elements.clean_slide("hook"))))
     rows = rows.join(similarities.select(F.col("item_id").alias("_id"), "sim"), F.col("item_id") == F.col("_id"), "left").drop("_id")
     like = elements.likeness(F.col("sim"), count_matches("slide", rules.NEWSWORDS))
     rows = rows.withColumn("likeness", like).withColumn("final_score", elements.final_score(F.col("likeness"), F.col("category_score"), F.col("clarity")))
     found = F.coalesce((F.col("sim") >= alike) | (F.col("final_score") >= least_final), F.col("final_score") >= least_final, F.lit(False))
-    rows = judged(rows, [
-        Stage("address", F.when(F.col("_place") > 1, F.lit("repeated"))),
-        Stage("content", F.when(triage.short_body().isNotNull(), F.lit("insufficient"))),
-        Stage("hard_reject", triage.hard_reject("_full")),
-        Stage("category", F.when((F.col("category_score") < least_category) & (F.col("category") == "NONE"), F.lit("weak"))),
+    rows = judged(marked(rows, F.col("told")), [
         Stage("narrative", F.when(F.col("relevant").isNull(), F.lit("extraction_failed")).when(~F.col("relevant"), F.coalesce("rejection_reason", F.lit("not_relevant")))),
         Stage("slide", F.when(F.col("clarity") < clarity, F.concat(F.lit("clarity:"), F.col("clarity").cast("string"))).when(~gates.slide_valid("slide"), F.lit("invalid"))),
         Stage("score", F.when(~found, F.lit("too_low"))),
-    ], 1).drop("_place", "_full")
+    ], 5).drop("_place", "told")
     rows, order = cut(rows, "run"), [F.desc("final_score"), "pos"]
     study = F.col("category").isin(*rules.STUDY_CATEGORIES)
     top = inside(rows).where(~study).orderBy(*order).limit(most).unionByName(inside(rows).where(study).orderBy(*order).limit(studies))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnowry.functions import rules
-from winnowry.functions.text import any_part, any_phrase, any_word, count_matches, first_rule, hits, once, worded
+from winnowry.functions.text import any_part, any_phrase, any_word, matches_any, once, worded
 
 
 def ranked(df: DataFrame, by: list, order: list, name: str = "rank") -> DataFrame:
@@ -25,9 +25,13 @@ def fresh(df: DataFrame, as_of: str, hours: int, ts: str = "published_at") -> Da
     return df.where(F.col(ts).isNull() | (F.col(ts) >= F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {hours} hours")))
 
 
-def hard_reject(text: str) -> Column:
-    """Reason: null result, two admin terms, promotion, local program, in this order; else null."""
-    return F.coalesce(first_rule(text, rules.NULL_RESULT), F.when(hits(text, rules.ADMIN) >= 2, F.lit("admin")), first_rule(text, rules.PROMO), first_rule(text, rules.LOCAL))
+def hard_reject(text: str, low: Column | None = None, held: Column | None = None) -> Column:
+    """Reason: null result, two admin terms, promotion, local program, in this order; else null. ``low`` and ``held`` are the text in lower case and its different words in a row, where they are known."""
+    low = F.lower(text) if low is None else low
+    found = lambda p: any_part(low, rules.REJECT_PARTS[p], held) & low.rlike(p)
+    first = lambda listed: F.coalesce(*[F.when(found(p), F.lit(name)) for name, p in listed])
+    admin = reduce(lambda a, b: a + b, [found(p).cast("int") for _, p in rules.ADMIN])
+    return F.coalesce(first(rules.NULL_RESULT), F.when(admin >= 2, F.lit("admin")), first(rules.PROMO), first(rules.LOCAL))
 
 
 def short_body(paper: int = 600, other: int = 1200) -> Column:
@@ -36,7 +40,8 @@ def short_body(paper: int = 600, other: int = 1200) -> Column:
 
 def truism(title: str = "title", body: str = "body_text") -> Column:
     """Reason if the title is a truism and neither it nor the body has anything specific."""
-    return F.when((hits(title, rules.TRUISMS) > 0) & (count_matches(title, rules.DIFFERENTIATORS) + count_matches(body, rules.DIFFERENTIATORS) == 0), F.lit("truism"))
+    said = lambda c, listed: matches_any(F.lower(c), [p for _, p in listed])
+    return F.when(said(title, rules.TRUISMS) & ~said(title, rules.DIFFERENTIATORS) & ~said(body, rules.DIFFERENTIATORS), F.lit("truism"))
 
 
 def headline_fault(h: str = "title", least: int = 30, most: int = 300) -> Column:
@@ -44,31 +49,36 @@ def headline_fault(h: str = "title", least: int = 30, most: int = 300) -> Column
     return F.coalesce(F.when(F.col(h).isNull() | (t == ""), F.lit("empty")), F.when(F.length(t) < least, F.lit("short")), F.when(F.length(t) > most, F.lit("long")), F.when(~t.rlike("[0-9]"), F.lit("no digit")), F.when(t.rlike("^[A-Z][A-Za-z ]*:"), F.lit("prefix")), F.when(t.contains("!"), F.lit("exclaim")))
 
 
-def said(low: Column, name: str, pattern: str) -> Column:
+def said(low: Column, name: str, pattern: str, held: Column | None = None) -> Column:
     """Whether the text holds what the flag asks for: a word of its list, by the text's words; phrases and all else by pattern."""
     if name not in rules.LEXICONS:
-        return any_part(low, rules.NEEDED[name]) & low.rlike(pattern) if name in rules.NEEDED else low.rlike(pattern)
+        return any_part(low, rules.NEEDED[name], held) & low.rlike(pattern) if name in rules.NEEDED else low.rlike(pattern)
     single, phrases = rules.LEXICONS[name]
     found = any_word(single)
     return found | (any_phrase(phrases) & low.rlike(rules.words(phrases))) if phrases else found
 
 
-def categorised(df: DataFrame, text: str = "title") -> DataFrame:
-    """Adds category, category_score, confidence and reasons (flags of the best scorecard): ties by order; below the floor NONE."""
-    df = worded(df, text)
+def categorised(df: DataFrame, text: str = "title", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Adds category, category_score, confidence and reasons (flags of the best scorecard): ties by order; below the floor NONE.
+
+    ``keep``: which of _low, _words and _held (the text in lower case, its different words, these in a row) stay.
+    """
+    df = worded(df, text).withColumn("_held", once(F.concat_ws(" ", "_words")))
     low = F.col("_low")
-    bits = [F.when(said(low, name, p), 1 << i).otherwise(0) for i, (name, p) in enumerate(rules.FLAGS.items())]
+    bits = [F.when(said(low, name, p, F.col("_held")), 1 << i).otherwise(0) for i, (name, p) in enumerate(rules.FLAGS.items())]
     df = df.withColumn("_flags", F.coalesce(once(reduce(lambda a, b: a + b, bits)), F.lit(0)))
     flags = {name: F.col("_flags").bitwiseAND(F.lit(1 << i)) > 0 for i, name in enumerate(rules.FLAGS)}
     flags["symptom|body"] = flags["symptom"] | flags["body"]
-    cards = []
+    cards, told, named = [], [], []
     for i, (name, points) in enumerate(rules.SCORECARDS):
         total = reduce(lambda a, b: a + b, [F.when(flags[f], n).otherwise(0) for f, n in points.items()])
-        cards.append(F.struct(total.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name"), F.array_join(F.array_compact(F.array(*[F.when(flags[f], f) for f in points])), ",").alias("reasons")))
+        cards.append(F.struct(total.alias("score"), F.lit(-i).alias("order")))
+        named.append(F.when(F.col("_best.order") == -i, F.lit(name)))
+        told.append(F.when(F.col("_best.order") == -i, F.concat_ws(",", *[F.when(flags[f], f) for f in points])))
     df = df.withColumn("_cards", F.array(*cards)).withColumn("_best", F.array_max("_cards"))
     enough = F.col("_best.score") >= rules.FLOOR
     total = F.aggregate("_cards", F.lit(0), lambda a, c: a + c["score"])
-    return df.withColumn("category", F.when(enough, F.col("_best.name")).otherwise("NONE")).withColumn("category_score", F.when(enough, F.col("_best.score")).otherwise(0)).withColumn("confidence", F.when(enough, F.col("_best.score") / total).otherwise(0.0)).withColumn("reasons", F.when(enough, F.col("_best.reasons")).otherwise("")).drop("_cards", "_best", "_flags", "_words", "_low")
+    return df.withColumn("category", F.when(enough, F.coalesce(*named)).otherwise("NONE")).withColumn("category_score", F.when(enough, F.col("_best.score")).otherwise(0)).withColumn("confidence", F.when(enough, F.col("_best.score") / total).otherwise(0.0)).withColumn("reasons", F.when(enough, F.coalesce(*told)).otherwise("")).drop("_cards", "_best", "_flags", *({"_words", "_low", "_held"} - set(keep)))
 
 
 def capped(df: DataFrame, run: list, order: list, key: Column, cap: int | None, most: int) -> DataFrame:

@@ -31,7 +31,7 @@ def third(spark, d, items, spine, export):
     v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     sims = triage.cosine_best(v.where("id % 5 <> 0"), v.where("id % 5 = 0")).select(F.col("id").alias("item_id"), "sim")
     tier = export.select("item_id", "credibility_tier")
-    return runs.third_run(items.join(tier, "item_id"), spine.withColumn("rejection_reason", F.lit(None).cast("string")), sims)
+    return runs.third_run(runs.read_texts(items).join(tier, "item_id"), spine.withColumn("rejection_reason", F.lit(None).cast("string")), sims)
 
 
 @query("run_third", RUN + "select item_id, step, stage, reason, rank from run left join names using (step)", VIEWS)

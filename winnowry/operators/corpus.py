@@ -20,7 +20,7 @@ SNAPSHOT = "headline string, normalized string, headline_hash string, cached_at
 
 
 def from_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(headline) of the first column, trimmed, without blanks; the first line goes if it is a header's word. A file that is not there gives none."""
+    """(headline) of the first column, trimmed, without blanks; the first line goes if it is a header's word, of each file if there are several. A file that is not there gives none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], "headline string")

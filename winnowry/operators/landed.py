@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnowry.functions.text import once
 from winnowry.operators.elements import without_tags
 
 
@@ -58,9 +59,10 @@ def summaries(payloads: DataFrame, base: str, payload: str = "payload") -> DataF
 ARTICLE = "Journal struct<Title: string>, Abstract struct<AbstractText: string>, AuthorList struct<Author: array<struct<LastName: string, ForeName: string>>>, ArticleIdList struct<ArticleId: array<struct<_IdType: string, _VALUE: string>>>"
 
 
-def article(xml: str = "payload") -> dict[str, Column]:
-    """Abstract, journal, the first five authors, the first DOI of an article's XML."""
-    a = F.from_xml(xml, ARTICLE)
+def articles(payloads: DataFrame, xml: str = "payload") -> DataFrame:
+    """Abstract, journal, the first five authors, the first DOI of articles' XML, which is read once; other columns stay."""
+    own, a = [c for c in payloads.columns if c != xml], F.col("_article")
     named = F.filter(F.slice(a["AuthorList"]["Author"], 1, 5), lambda x: x["LastName"].isNotNull())
     doi = F.get(F.filter(a["ArticleIdList"]["ArticleId"], lambda x: x["_IdType"] == "doi"), F.lit(0))
-    return {"abstract": a["Abstract"]["AbstractText"], "journal": a["Journal"]["Title"], "authors": F.array_join(F.transform(named, lambda x: F.concat_ws(" ", x["ForeName"], x["LastName"])), "; "), "doi": doi["_VALUE"]}
+    read = payloads.select(*own, once(F.from_xml(xml, ARTICLE)).alias("_article"))
+    return read.select(*own, a["Abstract"]["AbstractText"].alias("abstract"), a["Journal"]["Title"].alias("journal"), F.array_join(F.transform(named, lambda x: F.concat_ws(" ", x["ForeName"], x["LastName"])), "; ").alias("authors"), doi["_VALUE"].alias("doi"))

@@ -15,12 +15,14 @@ ENTRY = "title: string, link: array<struct<_href: string, _rel: string>>, summar
 FEED = f"channel struct<item: array<struct<{ITEM}>>>, item array<struct<{ITEM}>>, entry array<struct<{ENTRY}>>, {ITEM.replace(': ', ' ')}"
 #: Formats of dates in order; a weekday before the date is cut off.
 DATES = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "dd MMM yyyy HH:mm:ss Z", "dd MMM yyyy HH:mm:ss z", "yyyy-MM-dd")
+#: What a date has wherever its format reads it; looked for first, as a failed attempt to read costs far more.
+SHAPES = (r"\d[Tt]\d", r"\d[Tt]\d", r"\d \p{L}", r"\d \p{L}", r"\d-\d")
 
 
 def instant(text: Column) -> Column:
     """The first format that reads the date; without a zone it is UTC; else null."""
     plain = F.trim(F.regexp_replace(text, r"^[A-Za-z]{3,9},\s*", ""))
-    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in DATES])
+    return F.coalesce(*[F.when(plain.rlike(s), F.try_to_timestamp(plain, F.lit(f))) for f, s in zip(DATES, SHAPES, strict=True)])
 
 
 def feed_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:

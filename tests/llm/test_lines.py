@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from winnowry.llm import fuzzy, linededup
+from winnowry.llm import fuzzy, linededup, sketch
 from winnowry.llm.edits import similar
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -78,3 +79,28 @@ def test_keys_and_simhashes_by_loops(monkeypatch):
         hashes, _ = fuzzy.grams(np.frombuffer(line.encode(), np.uint8), np.array([0, len(line)]), fuzzy.FINE)
         want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
         assert signs[i] % 2**64 == want
+
+
+def test_no_python_on_executors(spark, monkeypatch):
+    """The whole job is DataFrame functions; keys, SimHashes and comparisons are not left to Arrow."""
+
+    def no(*args, **kwargs):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", no)
+    rows = [(1, "a line of some words, more of them here\nshort"), (2, "A line of some words - more of them herr\nown"), (3, "short!\nnothing like the others at all")]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "own", 3: "nothing like the others at all"}
+
+
+def test_simhash_and_keys_by_loops(spark):
+    pick = random.Random(9)
+    lines = ["".join(pick.choice("abcd efgh") for _ in range(n)).strip() or "a" for n in (1, 5, 39, 63, 120, 500)] + ["x" * 400]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    grams = sketch.all_grams(F.col("line"), sketch.TINY)
+    for r in df.select("line", grams.alias("grams"), sketch.simhash(F.col("line")).alias("sim"), F.transform(F.sort_array(grams), lambda x: F.xxhash64(x)).alias("drawn"), sketch.keys(F.col("line"), F.length("line")).alias("keys")).collect():
+        assert len(r.grams) == max(1, len(r.line) - sketch.TINY + 1)
+        drawn = r.drawn[: sketch.SAMPLE]
+        assert r.sim % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in drawn) > len(drawn))
+        assert len(r.keys) <= 4 * sketch.KEYS and len(r.keys) == len(set(r.keys))
+    assert all(len({(i + a) % sketch.BINS for a in x} & {(j + b) % sketch.BINS for b in y}) < 2 for x in sketch.STEPS for y in sketch.STEPS for i in range(16) for j in range(16) if (x, i) != (y, j))

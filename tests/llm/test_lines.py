@@ -104,3 +104,22 @@ def test_simhash_and_keys_by_loops(spark):
         assert r.sim % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in drawn) > len(drawn))
         assert len(r.keys) <= 4 * sketch.KEYS and len(r.keys) == len(set(r.keys))
     assert all(len({(i + a) % sketch.BINS for a in x} & {(j + b) % sketch.BINS for b in y}) < 2 for x in sketch.STEPS for y in sketch.STEPS for i in range(16) for j in range(16) if (x, i) != (y, j))
+
+
+def test_every_line_that_can_be_similar_has_keys(spark):
+    """Lines of few different grams too, which lie in few ranges, and lines of one change near their border."""
+    pick = random.Random(3)
+    short = ["".join(pick.choice(LETTERS) for _ in range(n)) for n in range(10, 20) for _ in range(5)]
+    pairs = [("a" * 400, "a" * 399 + "b"), (("na " * 70).strip(), ("na " * 69) + "no"), ("ab" * 12, "ab" * 11 + "ac")]
+    pairs += [(x, x[:i] + "-é"[len(x) % 2 :] + x[i + 1 :]) for x in short for i in [pick.randrange(1, len(x) - 1)]]
+    pairs += [(x, x[:i] + x[i + 1 :]) for x in short for i in [pick.randrange(len(x))]]
+    pairs = [(x.replace("-", "0"), y.replace("-", "0")) for x, y in pairs]
+    rows = [(i, x, y) for i, (x, y) in enumerate(pairs)]
+    of = lambda c: sketch.keys(F.col(c), F.length(c))
+    got = spark.createDataFrame(rows, "i long, x string, y string").select("i", F.arrays_overlap(of("x"), of("y")).alias("meet")).collect()
+    assert [r.i for r in got if not r.meet and similar([pairs[r.i][0]], [pairs[r.i][1]], linededup.SIMILAR)[0]] == []
+    lines = [((w + " ") * n).strip()[:size] for w in ("a", "ab", "abcdefgh", "ü") for n in (3000,) for size in (9, 13, 18, 25, 39, 40, 116, 117, 129, 130, 400)]
+    sizes = spark.createDataFrame([(x,) for x in lines], "line string").select(F.size(of("line")).alias("n")).collect()
+    assert all(r.n for r in sizes)
+    gone = {r.doc_id for r in linededup.dedup_lines(spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs[:8]) for j, x in enumerate(p)], "doc_id long, text string")).where("n_removed = 1").collect()}
+    assert gone == {2 * i + 1 for i in range(8) if similar([pairs[i][0]], [pairs[i][1]], linededup.SIMILAR)[0]} and {1, 3, 5} <= gone

@@ -1,5 +1,6 @@
 """Lines with changes all over, short lines, and the hashes of grams by definition."""
 
+import os
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from winnowry.llm import fuzzy, linededup, sketch
 from winnowry.llm.edits import similar
+from winnowry.llm.staging import shared_dir
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -123,3 +125,14 @@ def test_every_line_that_can_be_similar_has_keys(spark):
     assert all(r.n for r in sizes)
     gone = {r.doc_id for r in linededup.dedup_lines(spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs[:8]) for j, x in enumerate(p)], "doc_id long, text string")).where("n_removed = 1").collect()}
     assert gone == {2 * i + 1 for i in range(8) if similar([pairs[i][0]], [pairs[i][1]], linededup.SIMILAR)[0]} and {1, 3, 5} <= gone
+
+
+def test_tables_with_texts_do_not_stay(spark):
+    """Nor do those of keys: what is left on disk does not grow with the texts."""
+    where = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(where))
+    pairs = list(spread_pairs((20,), (3,), 60))
+    got = linededup.dedup_lines(spark.createDataFrame([(2 * i + j, x) for i, (_, *p) in enumerate(pairs) for j, x in enumerate(p)], "doc_id long, text string"))
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(where)) - before}
+    assert left and not left & {"occurrences", "members", "texts", "blocks"}
+    assert got.where("n_removed = 1").count() >= 58

@@ -1,12 +1,15 @@
 """What is landed is read and written once, and in parts."""
 
 import glob
+import math
+import random
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from winnowry import registry
-from winnowry.operators import landed, pages
+from winnowry.operators import landed, lexical, pages
 from winnowry.sources import tables
 
 DIR = "/root/testdata/sf0.001"
@@ -32,6 +35,35 @@ def test_texts_of_tf_cosine_are_read_once(spark):
     assert "regexp_extract_all" not in plan(registry.queries()["p29_tf_cosine"](spark, DIR))
 
 
+def test_words_of_tf_cosine_are_shuffled_by_block(spark):
+    """A word goes once from each block of ids to its weight, not once from each text, and texts are not shuffled by word or by id."""
+    got = registry.queries()["p29_tf_cosine"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    keys = {line.split("hashpartitioning(")[1].split("#")[0] for line in got.splitlines() if "hashpartitioning(" in line}
+    assert keys == {"block"}
+
+
+def test_next_cosine_by_loops(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "IDS", 4)
+    pick = random.Random(2)
+    words = ["the", "of", *(f"w{i}" for i in range(30)), "é"]
+    rows = [(i, " ".join(pick.choice(words) for _ in range(pick.randint(1, 12)))) for i in (-5, -4, -3, 0, 1, 2, 3, 4, 5, 7, 8, 8, 9, 12, 13, 1 << 60, (1 << 60) + 1)]
+    rows += [(14, ""), (15, "of"), (None, "w1 w1 rare"), (None, "w1 w2"), (10, None), (20, "only"), (21, "the")]
+    got = lexical.next_cosine(spark.createDataFrame(rows, "doc_id long, text string").repartition(3).select("doc_id", F.split("text", " ").alias("tokens")).withColumn("tokens", F.array_remove("tokens", "")), len(rows)).collect()
+    bags = defaultdict(Counter)
+    for i, t in rows:
+        bags[i].update((t or "").split())
+    df = Counter(w for b in bags.values() for w in b)
+    weigh = lambda b: {w: n * math.log(len(rows) / df[w]) for w, n in b.items()}
+    want = {}
+    for i in bags:
+        if i is not None and bags[i] and bags.get(i + 1):
+            a, b = weigh(bags[i]), weigh(bags[i + 1])
+            both = math.sqrt(sum(x * x for x in a.values())) * math.sqrt(sum(x * x for x in b.values()))
+            want[i] = sum(x * b.get(w, 0) for w, x in a.items()) / both if both else 0.0
+    assert sorted(r.doc_id for r in got) == sorted(want) and all(abs(r.sim - want[r.doc_id]) < 1e-9 for r in got)
+    assert lexical.next_cosine(spark.createDataFrame([], "doc_id long, tokens array<string>"), 0).count() == 0
+
+
 def test_feeds_are_made_once(spark):
     assert plan(registry.queries()["s01_feed_items"](spark, DIR)).count("collect_list(") == 1
 

@@ -3,12 +3,14 @@
 Texts of the same words are compared once. Rows meet the history through its rare words first, whose lists are short on one side. What a
 row's frequent words alone could reach is bounded; only rows whose bound is not below what they have found meet the whole history, block by
 block, where tasks count shared words in arrays. So no frequent word is ever the key of a join, and pairs are written only for rare words.
+
+``next_cosine`` compares each text with the next: texts are shuffled once, to blocks of ids, and a block's different words once, not once for each of its texts.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnowry.sources.tables import cut
@@ -20,6 +22,10 @@ ROWS, TEXTS = 1024, 8192
 #: Lanes over which the rows of one text are dealt when they get its result.
 LANES = 16
 OUT = "key string, sim double, other long"
+#: Ids of a block of texts that are compared with the next one.
+IDS = 1024
+#: A block: its ids; where each one's words begin; words by number, and how often; the words, and how many of the block's own texts have each.
+BLOCK = "block long, ids array<long>, starts array<int>, of array<int>, n array<int>, words array<string>, own array<int>"
 
 
 def rounded(x: Column) -> Column:
@@ -111,3 +117,58 @@ def lexical_best(rows: DataFrame, history: DataFrame) -> DataFrame:
     keyed = rows.where(F.size("tokens") > 0).select("id", F.array_join(F.array_sort("tokens"), " ").alias("key"), F.pmod(F.xxhash64("id"), F.lit(LANES)).alias("lane"))
     dealt = most.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))))
     return keyed.join(dealt, ["key", "lane"]).select("id", "sim", F.col("other").alias("best_id"))
+
+
+def _block(key, texts, width: int):
+    """One row of ``BLOCK`` from (block, doc_id, text). The last id may be the first of the next block, whose texts that counts."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    tokens = pc.split_pattern(texts.column("text").combine_chunks(), " ")
+    ids, of = np.unique(texts.column("doc_id").to_numpy(), return_inverse=True)
+    coded = tokens.flatten().dictionary_encode()
+    size = len(coded.dictionary)
+    found, n = np.unique(np.repeat(of, np.diff(tokens.offsets.to_numpy())) * size + coded.indices.to_numpy(), return_counts=True)
+    doc, word = found // size, found % size
+    own = np.bincount(word[ids[doc] // width == key[0].as_py()], minlength=size)
+    starts = np.searchsorted(doc, np.arange(len(ids) + 1))
+    ints = lambda x: pa.array([x.astype(np.int32)], pa.list_(pa.int32()))
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "starts": ints(starts), "of": ints(word), "n": ints(n), "words": pa.array([coded.dictionary], pa.list_(pa.string())), "own": ints(own)})
+
+
+def next_cosine(docs: DataFrame, total: int) -> DataFrame:
+    """(doc_id, sim): the TF-IDF cosine of each text and that of the next id, where both have words; words weigh the logarithm of ``total`` over the ids that have them.
+
+    docs: (doc_id, tokens); words hold no space. Texts of one id are one; those without an id count as one in the weights.
+    """
+    texts = docs.where(F.size("tokens") > 0)
+    width = IDS
+    place = F.expr(f"(doc_id - pmod(doc_id, {width})) div {width}")
+    dealt = texts.where("doc_id is not null").select("doc_id", F.array_join("tokens", " ").alias("text"), F.explode(F.when(F.expr(f"pmod(doc_id, {width}) = 0"), F.array(place, place - 1)).otherwise(F.array(place))).alias("block"))
+    blocks = cut(dealt.groupBy("block").applyInArrow(lambda key, texts: _block(key, texts, width), BLOCK), "blocks")
+    no_id = cut(texts.where("doc_id is null").select(F.explode("tokens").alias("w")).distinct(), "no_id")
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "own")).alias("at", "x")).select("block", "at", F.col("x.words").alias("w"), F.col("x.own").alias("own"))
+    words = words.unionByName(no_id.select(F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("at"), "w", F.lit(1).alias("own")))
+    held = cut(words.select("block", "at", F.sum("own").over(Window.partitionBy("w")).alias("df")).where("block is not null and df > 1"), "held")
+
+    def compared(key, left, right):
+        import numpy as np
+
+        block = {c: left.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "starts", "of", "n")}
+        ids, word = block["ids"], block["of"].astype(np.int64)
+        # a word that is not among those of several ids is one of one
+        df = np.ones(word.max() + 1)
+        df[right.column("at").to_numpy()] = right.column("df").to_numpy()
+        weight, doc = block["n"] * np.log(total / df)[word], np.repeat(np.arange(len(ids)), np.diff(block["starts"]))
+        norm = np.sqrt(np.bincount(doc, weight * weight, len(ids)))
+        first = np.flatnonzero(ids[1:] == ids[:-1] + 1)
+        keys = doc * len(df) + word
+        wanted = (doc - 1) * len(df) + word
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        met = np.flatnonzero(keys[at] == wanted)
+        dot = np.bincount(doc[at[met]], weight[met] * weight[at[met]], len(ids))
+        both = norm[first] * norm[first + 1]
+        sim = np.divide(dot[first], both, out=np.zeros(len(first)), where=both > 0)
+        return pa.table({"doc_id": pa.array(ids[first], pa.int64()), "sim": pa.array(sim, pa.float64())})
+
+    return blocks.drop("words", "own").groupBy("block").cogroup(held.groupBy("block")).applyInArrow(compared, "doc_id long, sim double")

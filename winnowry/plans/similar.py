@@ -84,13 +84,7 @@ n as (select doc_id, sqrt(sum((c * f) * (c * f))) as n from w join i using (x) g
 select a.doc_id, round(coalesce(dot / nullif(a.n * b.n, 0), 0), 6) as sim from n a join n b on b.doc_id = a.doc_id + 1 left join p on p.doc_id = a.doc_id""")
 def _(spark, d):
     """Of each text and the next, by words weighted with the logarithm of texts over texts that have the word."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.tokens("text").alias("w"))
-    counts = tables.cut(docs.select("doc_id", F.explode("w").alias("x")).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("c")), "counts")  # texts are read once
-    weights = counts.groupBy("x").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).cast("double").alias("all")))).select("x", F.log(F.col("all") / F.col("df")).alias("f"))
-    cf, none = F.col("c") * F.col("f"), F.lit(None).cast("double")
-    side = lambda doc, own, other: F.struct(doc.alias("doc_id"), own.alias("a"), other.alias("b"))
-    told = counts.join(weights, "x").select("x", F.inline(F.array(side(F.col("doc_id"), cf, none), side(F.col("doc_id") - 1, none, cf)))).where("doc_id is not null")
-    met = told.repartition("doc_id").groupBy("doc_id", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))  # each word of a text and the next, in one shuffle
-    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
-    both = met.groupBy("doc_id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"), norm("a").alias("n"), norm("b").alias("m")).where("n is not null and m is not null")
-    return both.select("doc_id", F.round(F.coalesce(F.try_divide("dot", F.col("n") * F.col("m")), F.lit(0.0)), 6).alias("sim"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    # what a written table was made of needs no shuffle files any more
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return lexical.next_cosine(docs.select("doc_id", text.tokens("text").alias("tokens")), docs.count()).select("doc_id", F.round("sim", 6).alias("sim"))
